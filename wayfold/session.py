@@ -14,7 +14,7 @@ HERE = Path(__file__).resolve().parent
 
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session of one machine, for tests and benchmarks; a cluster's own session needs only the UTC time zone."""
-    builder = SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", str(partitions)).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.sql.adaptive.enabled", "true")
+    builder = SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", str(partitions)).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.adaptive.enabled", "true")
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     spark = builder.getOrCreate()
