@@ -3,3 +3,40 @@
 from __future__ import annotations
 
 SQL: dict[str, str] = {}
+
+
+def quality_sql() -> str:
+    """Counts, votes and the whole estimation in SQL, one step of expectation-maximisation after another."""
+    from . import quality as q
+
+    rules = list(q.RULES.values())
+    n = len(rules)
+    vote = ", ".join(f"case when {bad} then 0 when {good} then 1 else 2 end as v{j}" for j, (bad, good) in enumerate(rules))
+    names = ", ".join(f"v{j}" for j in range(n))
+    start = f"select {q.START_PRIOR!r}::double as prior, " + ", ".join(f"{g!r}::double as g{j}_{v}, {b!r}::double as b{j}_{v}" for j in range(n) for v, (g, b) in enumerate(zip(q.START_GOOD, q.START_BAD, strict=True)))
+    odds = "ln(prior / (1 - prior))" + "".join(f" + case v{j} " + " ".join(f"when {v} then ln(g{j}_{v} / b{j}_{v})" for v in range(3)) + " end" for j in range(n))
+    steps = []
+    for i in range(q.ROUNDS):
+        new = ", ".join(f"(1 + coalesce(sum(c * p) filter (v{j} = {v}), 0)) / (3 + sum(c * p)) as g{j}_{v}, (1 + coalesce(sum(c * (1 - p)) filter (v{j} = {v}), 0)) / (3 + sum(c * (1 - p))) as b{j}_{v}" for j in range(n) for v in range(3))
+        steps.append(f"m{i + 1} as materialized (select (1 + sum(c * p)) / (2 + sum(c)) as prior, {new} from (select patterns.*, 1 / (1 + exp(-({odds}))) as p from patterns, m{i}))")
+    return f"""
+with texts as (select doc_id, coalesce(text, '') as t from documents),
+cut as (select doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from texts),
+windows as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as x from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from cut)),
+twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, x) as c from windows) where c > 1),
+repeats as (select doc_id, count(distinct i + k) as n_repeat_words from twice, (values (0), (1), (2)) as ks(k) group by doc_id),
+counts as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, len(l)::bigint as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
+  coalesce(n_repeat_words, 0)::bigint as n_repeat_words, (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::bigint as n_capitals, (length(t) - length(replace(t, '!', '')))::bigint as n_bangs
+  from cut left join repeats using (doc_id)),
+voted as materialized (select *, {vote} from counts),
+patterns as materialized (select {names}, count(*)::double as c from voted group by all),
+m0 as ({start}),
+{", ".join(steps)}
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({q.BASE_FAILED}) as base_failed,
+  not ({q.BASE_FAILED}) and 1 / (1 + exp(-({odds}))) >= {q.THRESHOLD} as kept
+from voted, m{q.ROUNDS}
+"""
+
+
+SQL["op5_quality_votes"] = quality_sql()
