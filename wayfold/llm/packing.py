@@ -57,24 +57,18 @@ def tokenized_pieces(docs: DataFrame, vocab_path: str, capacity: int, end_id: in
     def run(batches):
         enc = encoder(vocab_path)
         for batch in batches:
-            texts, at = batch.column(1).to_pylist(), 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and size < 4_000_000:
-                    size += len(texts[to] or "")
-                    to += 1
+            for at, flat, offsets in enc.encode(batch.column(1)):
                 rows, start, length, ids, total = [], [], [], [], []
-                for i, blob in enumerate(enc.encode(texts[at:to]), at):
-                    blob += end
-                    n = len(blob) // 4
+                for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    blob = flat[a:b].tobytes() + end
+                    n = b - a + 1
                     for s in range(0, n, capacity):
-                        rows.append(i)
+                        rows.append(at + i)
                         start.append(s)
                         length.append(min(capacity, n - s))
                         ids.append(blob[4 * s : 4 * (s + capacity)])
                         total.append(n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64())], names=[id_col, "start", "length", "ids", "doc_tokens"])
-                at = to
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long")
 

@@ -74,7 +74,8 @@ def _sample(docs: DataFrame, vocab_path: str, end: bytes, id_col: str, text_col:
     def run(batches):
         enc = encoder(vocab_path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([(x + end)[: 4 * DICTIONARY_IDS] for x in enc.encode(batch.column(0).to_pylist())], pa.binary())], names=["ids"])
+            for _, ids, offsets in enc.encode(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array([(ids[a:b].tobytes() + end)[: 4 * DICTIONARY_IDS] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["ids"])
 
     return sorted(bytes(r[0]) for r in some.mapInArrow(run, "ids binary").collect())
 
@@ -106,8 +107,9 @@ def write_store(docs: DataFrame, path: str, vocab_path: str, end_id: int = 2, sh
         shared = zstandard.ZstdCompressionDict(_dictionary(path, sha)) if dictionary else None
         tool = zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=True)
         for batch in batches:
-            ids = [x + end for x in enc.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(tool.compress, ids), pa.binary())], names=["id", "n", "frame"])
+            for at, ids, offsets in enc.encode(batch.column(1)):
+                frames = [tool.compress(ids[a:b].tobytes() + end) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(frames)).cast(pa.int64()), pa.array(np.diff(offsets) + 1), pa.array(frames, pa.binary())], names=["id", "n", "frame"])
 
     if kind not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{id_col} must be a whole number, not {kind}")

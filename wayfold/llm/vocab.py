@@ -12,27 +12,32 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space in the sense of Unicode, as the tokenizers' patterns take it.
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A run of white space that goes on, or ends the text, after a blank that has white space before it: such runs are one word.
 RUN = re.compile(rf"[{WS}] (?:[{WS}]|\Z)")
+#: The same as Arrow's regular expressions write it.
+RUN_RE2 = "[{0}] (?:[{0}]|$)".format("\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}")
 #: A run of white space with the visible characters after it.
 PIECE = re.compile(rf"[{WS}]*[^{WS}]+|[{WS}]+")
 #: Characters that Python's split() takes for white space and the tokenizers don't.
-CONTROL = re.compile("[\x1c-\x1f]")
+CONTROL = re.compile(r"[\x1c-\x1f]")
 
 #: A generation of remembered pieces; two are kept.  Longer pieces aren't remembered.
-GENERATION, LONGEST = 400_000, 64
+GENERATION, LONGEST = 150_000, 64
 #: Characters of text that are encoded together.
-CHUNK = 2_000_000
+CHUNK = 6_000_000
 
 
 class PieceEncoder:
-    """Bytes of ids (little-endian unsigned 32-bit) of whole texts.
+    """Ids of whole texts.
 
-    learn: gives the ids of strings that it is asked for, as bytes.  words:
-    whether the vocabulary drops white space.
+    learn: gives the ids of strings that it is asked for, as bytes
+    (little-endian unsigned 32-bit).  words: whether the vocabulary drops white
+    space.
     """
 
     def __init__(self, learn, words: bool):
@@ -40,59 +45,94 @@ class PieceEncoder:
         self.now: list[dict[str, bytes]] = [{}, {}]
         self.before: list[dict[str, bytes]] = [{}, {}]
 
-    def cut(self, text: str) -> tuple[list[str], list[str]]:
-        """A text's pieces: those that stand as they are, and those that follow a blank each."""
-        if self.words:
-            return ([x.strip(" ") for x in PIECE.findall(text)] if CONTROL.search(text) else text.split()), []
-        if RUN.search(text):
-            return PIECE.findall(text), []
-        head, *rest = text.split(" ")
-        return [head] if head else [], rest
-
-    def recall(self, k: int, pieces: set[str]) -> None:
-        """See that now[k] holds all pieces."""
+    def recall(self, k: int, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, which may stand as they are (k = 0) or follow a blank each (k = 1)."""
         if len(self.now[k]) > GENERATION:
-            self.before[k], self.now[k] = {p: x for p, x in self.now[k].items() if len(p) <= LONGEST}, {}
+            self.before[k], self.now[k] = self.now[k], {}
         now, before = self.now[k], self.before[k]
+        out = list(map(now.get, pieces))
         new = []
-        for p in pieces - now.keys():
-            ids = before.get(p)
+        for i, ids in enumerate(out):
             if ids is None:
-                new.append(p)
-            else:
-                now[p] = ids
-        now.update(zip(new, self.learn([" " + p for p in new] if k else new), strict=True))
-
-    def forget_long(self) -> None:
-        for now in self.now:
-            for p in [p for p in now if len(p) > LONGEST]:
-                del now[p]
-
-    def encode_chunk(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        longest = 0
-        for k in (0, 1):
-            pieces: set[str] = set()
-            for runs in cut:
-                pieces.update(runs[k])
-            self.recall(k, pieces)
-            longest = max(longest, max(map(len, pieces), default=0))
-        first, later = (now.__getitem__ for now in self.now)
-        out = [b"".join(map(first, a)) + b"".join(map(later, b)) for a, b in cut]
-        if longest > 100 * LONGEST:
-            self.forget_long()
+                ids = before.get(pieces[i])
+                if ids is None:
+                    new.append(i)
+                else:
+                    out[i] = now[pieces[i]] = ids
+        if new:
+            wanted = list(dict.fromkeys(pieces[i] for i in new))
+            found = dict(zip(wanted, self.learn([" " + p for p in wanted] if k else wanted), strict=True))
+            for i in new:
+                out[i] = found[pieces[i]]
+            now.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST)
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; null: none."""
-        out, chunk, size = [], [], 0
-        for t in texts:
-            chunk.append(t or "")
-            size += len(chunk[-1])
-            if size >= CHUNK:
-                out += self.encode_chunk(chunk)
-                chunk, size = [], 0
-        return out + self.encode_chunk(chunk)
+    def encode_chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(texts, CONTROL.pattern if self.words else RUN_RE2)
+        if pc.any(odd).as_py():
+            return self.encode_odd(texts.to_pylist())
+        cut = pc.utf8_split_whitespace(texts) if self.words else pc.split_pattern(texts, " ")
+        offsets = np.asarray(cut.offsets, np.int64)
+        pieces = cut.flatten().dictionary_encode()
+        offsets = offsets - offsets[0]
+        index = pieces.indices.to_numpy()
+        ids = self.recall(0 if self.words else 1, pieces.dictionary.to_pylist())
+        if not self.words:  # a text's first piece follows no blank
+            heads = cut.flatten().take(pa.array(offsets[:-1])).to_pylist()
+            index = index.copy()
+            index[offsets[:-1]] = np.arange(len(ids), len(ids) + len(heads))
+            ids += self.recall(0, heads)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        starts = np.cumsum(lengths) - lengths
+        taken = lengths[index]
+        ends = np.cumsum(taken)
+        total = int(ends[-1]) if len(ends) else 0
+        where = np.repeat(starts[index] - (ends - taken), taken) + np.arange(total)
+        return pool[where], np.concatenate([[0], ends])[offsets]
+
+    def encode_odd(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts of which some have runs of white space that are words, or control characters."""
+        cut = [[x.strip(" ") for x in PIECE.findall(t)] if self.words else PIECE.findall(t) for t in texts]
+        every = list({p for ps in cut for p in ps})
+        ids = dict(zip(every, self.recall(0, every), strict=True))
+        done = [b"".join(map(ids.__getitem__, ps)) for ps in cut]
+        return np.frombuffer(b"".join(done), "<u4"), np.cumsum([0, *map(len, done)]) // 4
+
+    def encode(self, texts: pa.Array):
+        """Yield (first text, ids, offsets) for runs of texts; ids[offsets[i] : offsets[i + 1]] are those of text first + i.  Null: none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        ends = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+            yield at, *self.encode_chunk(texts.slice(at, to - at))
+            at = to
+
+
+def as_binary(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """One binary value for each text."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((4 * offsets).astype("<i8")), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
+
+
+def join_learner(encode, special: str, special_id: int):
+    """Ids of many strings from few calls: they are encoded as one text, with a special token between them."""
+
+    def learn(strings: list[str]) -> list[bytes]:
+        plain = [s for s in strings if "<" not in s]
+        runs = [special.join(plain[i : i + 1000]) for i in range(0, len(plain), 1000)]
+        found = []
+        for ids in encode(runs):
+            ids = np.array(ids, "<u4")
+            cuts = np.flatnonzero(ids == special_id)
+            data, cuts = ids.tobytes(), cuts.tolist()
+            found += [data[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
+        odd = [s for s in strings if "<" in s]
+        found = iter(found)
+        rest = iter([np.array(ids, "<u4").tobytes() for ids in encode(odd)])
+        return [next(rest) if "<" in s else next(found) for s in strings]
+
+    return learn
 
 
 @lru_cache(maxsize=4)
@@ -106,8 +146,9 @@ def encoder(path: str) -> PieceEncoder:
     found = Tokenizer.from_file(path)
     found.no_truncation()
     found.no_padding()
+    special_id, special = max((i, t.content) for i, t in found.get_added_tokens_decoder().items())
 
-    def learn(strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in found.encode_batch_fast(strings, add_special_tokens=False)]
+    def encode(strings: list[str]) -> list[list[int]]:
+        return [e.ids for e in found.encode_batch_fast(strings, add_special_tokens=False)]
 
-    return PieceEncoder(learn, words=found.normalizer is not None)
+    return PieceEncoder(join_learner(encode, special, special_id), words=found.normalizer is not None)
