@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .vocab import WS, PieceEncoder
+from .vocab import WS, PieceEncoder, as_binary
 
 #: The word pattern of byte-level vocabularies; {w} is white space.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{w}\p{{L}}\p{{N}}]+|[{w}]+(?![^{w}])|[{w}]+"
@@ -31,6 +31,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(other)}
 
 
+#: Strings whose words share one trie, which bounds its memory.
+TRIE_WORDS = 40_000
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a tokenizers file."""
 
@@ -63,7 +67,9 @@ class Vocabulary:
                 node = node.setdefault(b, {})
             node[-1] = i
         self.word = regex.compile(WORD.format(w=WS))
+        #: Special tokens, each of which has "<" in it.
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.raw_ids = [i.to_bytes(4, "little") for i in range(len(self.bytes))]
         self.known: dict[int, bool] = {}
         self.edges: dict[int, tuple[list, list]] = {}
 
@@ -85,61 +91,86 @@ class Vocabulary:
 
     def apart(self, left: int, right: int) -> bool:
         """Whether two neighbouring tokens stay apart: no merge across their border comes before both of its parts are taken in.  At the same rank the merge further left comes first."""
-        key = left << 32 | right
-        found = self.known.get(key)
-        if found is None:
-            found = not any((r := self.rank.get((x, y))) is not None and r < x_until and r <= y_until for x, x_until in self.spines(left)[0] for y, y_until in self.spines(right)[1])
-            if len(self.known) > 2_000_000:
-                self.known.clear()
-            self.known[key] = found
+        rank, found = self.rank, True
+        for x, x_until in self.spines(left)[0]:
+            for y, y_until in self.spines(right)[1]:
+                r = rank.get((x, y))
+                if r is not None and r < x_until and r <= y_until:
+                    found = False
+        if len(self.known) > 500_000:
+            self.known.clear()
+        self.known[left << 32 | right] = found
         return found
 
     def encode_words(self, words) -> dict[str, bytes]:
         """Ids (little-endian unsigned 32-bit) of every distinct word."""
         trie: dict = {}
+        deepest = 0
         for w in words:
-            node = trie
-            for b in w.encode():
-                node = node.setdefault(b, {})
+            node, raw = trie, w.encode()
+            for b in raw:
+                below = node.get(b)
+                if below is None:
+                    below = node[b] = {}
+                node = below
             node[-1] = w
+            deepest = max(deepest, len(raw))
         out: dict[str, bytes] = {}
-        # By depth: the token that ends the prefix, where it starts, and the starts from which a token may go on.
-        last, start, open_at = [-1], [0], [[(0, self.root)]]
-        stack = [(b, node, 1) for b, node in trie.items() if b >= 0]
         if -1 in trie:
-            out[trie[-1]] = b""
+            out[trie.pop(-1)] = b""
+        # By depth: the token that ends the prefix, where it starts, and the starts from which a token may go on.
+        last, start, open_at = [-1] * (deepest + 1), [0] * (deepest + 1), [()] * (deepest + 1)
+        open_at[0] = ((0, self.root),)
+        root, known, raw_ids = self.root, self.known, self.raw_ids
+        stack = [(b, node, 1) for b, node in trie.items()]
+        pop, push = stack.pop, stack.append
         while stack:
-            byte, node, depth = stack.pop()
-            del last[depth:], start[depth:], open_at[depth:]
-            going, best = [], None
+            byte, node, depth = pop()
+            going, best = [], -1
             for at, state in open_at[depth - 1]:
                 state = state.get(byte)
                 if state is not None:
                     going.append((at, state))
-                    token = state.get(-1)
-                    if best is None and token is not None and (at == 0 or self.apart(last[at], token)):
-                        best = (token, at)
-            going.append((depth, self.root))
-            last.append(best[0])
-            start.append(best[1])
-            open_at.append(going)
+                    if best < 0:
+                        token = state.get(-1, -1)
+                        if token >= 0:
+                            if at:
+                                key = last[at] << 32 | token
+                                apart = known.get(key)
+                                if apart is None:
+                                    apart = self.apart(last[at], token)
+                                if not apart:
+                                    continue
+                            best, begin = token, at
+            last[depth], start[depth] = best, begin
             for b, below in node.items():
                 if b >= 0:
-                    stack.append((b, below, depth + 1))
-            if -1 in node:
-                ids, at = [], depth
-                while at:
-                    ids.append(last[at])
-                    at = start[at]
-                out[node[-1]] = np.array(ids[::-1], "<u4").tobytes()
+                    push((b, below, depth + 1))
+                else:
+                    ids, at = [], depth
+                    while at:
+                        ids.append(raw_ids[last[at]])
+                        at = start[at]
+                    ids.reverse()
+                    out[below] = b"".join(ids)
+            going.append((depth, root))
+            open_at[depth] = going
         return out
 
     def learn(self, strings: list[str]) -> list[bytes]:
-        """Ids of strings that may hold special tokens; words that they share are encoded once."""
-        parts = [[s] if self.cut is None else [p for p in self.cut.split(s) if p] for s in strings]
-        words = [[p if p in self.special else self.word.findall(p) for p in ps] for ps in parts]
-        ids = self.encode_words({w for ps in words for ws in ps if not isinstance(ws, str) for w in ws})
-        return [b"".join(self.special[ws].to_bytes(4, "little") if isinstance(ws, str) else b"".join(map(ids.__getitem__, ws)) for ws in ps) for ps in words]
+        """Ids of strings that may hold special tokens; words that they share are encoded once, TRIE_WORDS strings to a trie."""
+        if len(strings) > TRIE_WORDS:
+            return [x for i in range(0, len(strings), TRIE_WORDS) for x in self.learn(strings[i : i + TRIE_WORDS])]
+        find, words, odd = self.word.findall, [], {}
+        for s in strings:
+            if "<" in s and self.cut is not None and self.cut.search(s):
+                odd[s] = [p if p in self.special else find(p) for p in self.cut.split(s) if p]
+                words.append([w for ws in odd[s] if not isinstance(ws, str) for w in ws])
+            else:
+                words.append(find(s))
+        ids = self.encode_words({w for ws in words for w in ws})
+        known = ids.__getitem__
+        return [b"".join(map(known, ws)) if s not in odd else b"".join(self.raw_ids[self.special[p]] if isinstance(p, str) else b"".join(map(known, p)) for p in odd[s]) for s, ws in zip(strings, words, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -152,21 +183,35 @@ def trie_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(vocabulary(path).learn, words=False)
 
 
-def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Characters of text that a worker encodes together.
+TRIE_CHUNK = 2_000_000
+
+
+def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """Encode every text: the id column and ids (binary, little-endian unsigned 32-bit).
 
-    Null text: no ids.  A special token's string in a text gets the special
-    token's id.  Rows keep their number and partition; repeated rows are
-    encoded each; an empty table gives none.  Other columns are dropped.
+    decoded: also return the text that the ids decode to, as decode() gives it,
+    from the same worker.  Null text: no ids.  A special token's string in a
+    text gets the special token's id.  Rows keep their number and partition;
+    repeated rows are encoded each; an empty table gives none.  Other columns
+    are dropped.
     """
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
+        tokens = vocabulary(vocab_path).bytes
         for batch in batches:
-            ids = trie_encoder(vocab_path).encode(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
+            for at, ids, offsets in trie_encoder(vocab_path).encode(batch.column(1), TRIE_CHUNK):
+                columns = [batch.column(0).slice(at, len(offsets) - 1), as_binary(ids, offsets)]
+                if decoded:
+                    columns.append(pa.array([text_of(tokens, ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "ids", "decoded"][: len(columns)])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary" + ", decoded string" * decoded)
+
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+def text_of(tokens: list[bytes], ids: np.ndarray) -> str:
+    return b"".join(map(tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -180,7 +225,7 @@ def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col:
     def run(batches):
         tokens = vocabulary(vocab_path).bytes
         for batch in batches:
-            texts = [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            texts = [text_of(tokens, np.frombuffer(x or b"", "<u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"])
 
     return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded string")

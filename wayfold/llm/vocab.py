@@ -99,13 +99,13 @@ class PieceEncoder:
         done = [b"".join(map(ids.__getitem__, ps)) for ps in cut]
         return np.frombuffer(b"".join(done), "<u4"), np.cumsum([0, *map(len, done)]) // 4
 
-    def encode(self, texts: pa.Array):
+    def encode(self, texts: pa.Array, chunk: int = CHUNK):
         """Yield (first text, ids, offsets) for runs of texts; ids[offsets[i] : offsets[i + 1]] are those of text first + i.  Null: none."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         ends = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
         at = 0
         while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chunk, "right")))
             yield at, *self.encode_chunk(texts.slice(at, to - at))
             at = to
 
