@@ -15,6 +15,7 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -155,11 +156,11 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
     gives none.
     """
     rest = [c for c in pages.columns if c not in (html_col, text_col)]
-    fields = ", ".join(f"`{c}` {kind}" for c, kind in pages.dtypes if c in rest)
+    schema = T.StructType([pages.schema[c] for c in rest] + [T.StructField(text_col, T.StringType())])
 
     def run(batches):
         for batch in batches:
             texts = [main_text(h) for h in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*rest, text_col])
 
-    return pages.select(*rest, html_col).mapInArrow(run, f"{fields + ', ' if rest else ''}`{text_col}` string")
+    return pages.select(*[pages[c] for c in rest], pages[html_col]).mapInArrow(run, schema)

@@ -39,4 +39,26 @@ from voted, m{q.ROUNDS}
 """
 
 
+def url_sql() -> str:
+    """The lists' log, its intervals, and the join of captures to them."""
+    from . import queries as q
+    from . import url_filter
+
+    return f"""
+with captures as (select page_id, nullif(lower(regexp_extract(url, '{url_filter.HOST}', 1)), '') as host, timestamp '{q.START}' + to_minutes(({q.PAGE_MINUTES} * page_id % ({q.LIST_DAYS} * 1440))::integer) as fetched_at from pages),
+hosts as (select distinct host as h from captures where host is not null),
+domains as (select h from (select h from hosts union select substring(h, instr(h, '.') + 1) from hosts) where length(h) % 3 = 0),
+log as (select list, h as domain, action, timestamp '{q.START}' + to_days(((length(h) * 31 + k * 53 + n * 97) % {q.LIST_DAYS} + n * 40)::integer) as happened
+  from domains, (values ('adult', 0), ('malware', 1), ('spam', 2)) as lists(list, k), (values ('add', 0), ('remove', 1), ('add', 2)) as steps(action, n)
+  where length(h) % 4 >= k and length(h) % 5 >= n),
+events as (select list, domain, happened, bool_and(action = 'add') as on_list from log group by all),
+changes as (select * from (select *, lag(on_list) over (partition by list, domain order by happened) as was from events) where on_list <> coalesce(was, false)),
+valid as (select * from (select list, domain, on_list, happened as valid_from, lead(happened) over (partition by list, domain order by happened) as valid_to from changes) where on_list),
+found as (select page_id, list, domain from captures join valid on (host = domain or ends_with(host, '.' || domain)) and fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to))
+select page_id, any_value(host) as host, count(domain) > 0 as blocked, count(domain) as n_matches, coalesce(string_agg(list || '@' || domain, ',' order by list, domain), '') as matched
+from captures left join found using (page_id) group by page_id
+"""
+
+
+SQL["op6_url_lists"] = url_sql()
 SQL["op5_quality_votes"] = quality_sql()
