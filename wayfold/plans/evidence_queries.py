@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.measures import clamp, cosine, pooled
@@ -10,6 +10,11 @@ from ..operators import evidence, forecasts
 from .registry import query, table
 
 
+def six_digits(column: str) -> Column:
+    """A value to six digits; the odd offset keeps cut points away from short decimal fractions, whose last bits differ between engines."""
+    return F.floor(F.col(column) * 1e6 + 0.31415926) / 1e6
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as evidence: an order's return flag is a claim, the supplier its family, five times the discount its weight."""
     weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("l_discount") * 5))
@@ -18,11 +23,11 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with w as (select l_orderkey, l_returnflag, l_suppkey, max(greatest(0, least(1, l_discount * 5))) as w from lineitem group by all)
-select l_orderkey, l_returnflag, count(*) as n_families, round(greatest(0.05, least(0.99, 1 - product(1 - least(1, 0.78 * w)))), 10) as confidence from w group by all""")
+select l_orderkey, l_returnflag, count(*) as n_families, floor(greatest(0.05, least(0.99, 1 - product(1 - least(1, 0.78 * w)))) * 1e6 + 0.31415926) / 1e6 as confidence from w group by all""")
 def claim_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Independent families behind each claim and the confidence that they give it."""
     found = evidence.noisy_or(claims(spark, sf_dir), ["l_orderkey", "l_returnflag"], "l_suppkey", "weight")
-    return found.select("l_orderkey", "l_returnflag", "n_families", F.round("confidence", 10).alias("confidence"))
+    return found.select("l_orderkey", "l_returnflag", "n_families", six_digits("confidence").alias("confidence"))
 
 
 @query("""
@@ -43,7 +48,7 @@ def claim_contested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRUTH = """
 with w as (select l_orderkey, l_returnflag, s_nationkey, max(greatest(0, least(1, l_discount * 5))) as w from lineitem join supplier on l_suppkey = s_suppkey group by all),
-b as (select l_orderkey, l_returnflag, count(*) as n_families, round(least(0.98, 1 - product(1 - least(0.95, 0.75 * w))), 10) as base from w group by all)"""
+b as (select l_orderkey, l_returnflag, count(*) as n_families, floor(least(0.98, 1 - product(1 - least(0.95, 0.75 * w))) * 1e6 + 0.31415926) / 1e6 as base from w group by all)"""
 
 
 @query(
@@ -58,7 +63,7 @@ def truth_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' nations are the families."""
     nations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     found = evidence.noisy_or(claims(spark, sf_dir).join(nations, "l_suppkey"), ["l_orderkey", "l_returnflag"], "s_nationkey", "weight", 0.75, 0.95, 0.0, 0.98)
-    rated = found.select("l_orderkey", "l_returnflag", "n_families", F.round("confidence", 10).alias("base"), F.lit(False).alias("authoritative"))
+    rated = found.select("l_orderkey", "l_returnflag", "n_families", six_digits("confidence").alias("base"), F.lit(False).alias("authoritative"))
     return evidence.truth_status(rated, "l_orderkey", "l_returnflag")
 
 
