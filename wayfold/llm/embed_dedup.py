@@ -156,6 +156,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         rows = {c: [v] for c, v in first.items()} | {"ids": [np.asarray(order["id"], np.int64).tobytes()], "copies": [np.asarray(order["copies"], np.int64).tobytes()], "z": [b"".join(order["z"].to_pylist())]}
         return pa.Table.from_pydict(rows, pa.schema([("label", pa.string()), ("dim", pa.int64()), ("g0", pa.int64()), ("g1", pa.int64()), ("tile", pa.int64()), ("ids", pa.binary()), ("copies", pa.binary()), ("z", pa.binary())]))
 
+    dealt = dealt.repartition(*cell, "tile")  # else a crowded cell would stay in one task
     tiles = written(dealt.groupBy(*cell, "tile").applyInArrow(assemble, "label string, dim long, g0 long, g1 long, tile long, ids binary, copies binary, z binary"), "tiles", "none")
     beside = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]  # each pair of touching cells once
     near = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in beside]))

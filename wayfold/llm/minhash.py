@@ -17,6 +17,9 @@ WORDS = 5
 #: An estimate may fall short of the threshold by so much before a pair is dropped: over four standard deviations.
 MARGIN = 0.15
 
+#: Parts of the hash space in which a set's shingles are counted.
+PARTS = 64
+
 SIGNATURE = [f"s{i}" for i in range(LONGS)]
 
 
@@ -83,26 +86,28 @@ def sketch(shingles: np.ndarray, flips: np.ndarray, factors: np.ndarray) -> tupl
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, set_hash (binary; null without words), the signature's longs and keys (one for each band)."""
+    """doc_id, n_shingles, set_hash (binary; null without words), the signature's longs, keys (one for each band) and counts (shingles in each of PARTS of the hash space)."""
 
     def run(batches):
         import xxhash
 
         flips, factors = sketch_parameters()
         for batch in batches:
-            count, sets, packed, keys = [], [], [], []
+            count, sets, packed, keys, parts = [], [], [], [], []
             for s in shingle_sets(batch.column(1)):
                 count.append(len(s))
                 sets.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 a, b = sketch(s, flips, factors) if len(s) else (np.zeros(LONGS, np.int64), np.zeros(0, np.int64))
                 packed.append(a)
                 keys.append(b)
+                parts.append(np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS))
             table = np.array(packed, np.int64).reshape(len(count), LONGS)
             flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(sets, pa.binary()), *(pa.array(table[:, i]) for i in range(LONGS)), flat], names=["doc_id", "n_shingles", "set_hash", *SIGNATURE, "keys"])
+            counted = pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1) * PARTS, pa.int32()), pa.array(np.array(parts, np.int32).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(sets, pa.binary()), *(pa.array(table[:, i]) for i in range(LONGS)), flat, counted], names=["doc_id", "n_shingles", "set_hash", *SIGNATURE, "keys", "counts"])
 
     fields = ", ".join(f"{s} long" for s in SIGNATURE)
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"doc_id long, n_shingles long, set_hash binary, {fields}, keys array<long>")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"doc_id long, n_shingles long, set_hash binary, {fields}, keys array<long>, counts array<int>")
 
 
 def estimate(a: str, b: str) -> str:
@@ -116,6 +121,18 @@ def estimate(a: str, b: str) -> str:
     return f"((({MINIMA} - ({' + '.join(differ)})) / {MINIMA}.0D - {chance}D) / {1 - chance}D)"
 
 
+def may_link(a: str, b: str, percent: int) -> str:
+    """SQL: whether two classes may be linked, by their sizes, their estimate, and their counts.
+
+    Counts that differ by d in all mean d shingles at least that only one set
+    has; a link allows (100 - percent) / (100 + percent) of both sizes.  Sizes
+    and counts never turn a link away.
+    """
+    sizes = f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
+    differ = f"aggregate(zip_with({a}.counts, {b}.counts, (x, y) -> abs(x - y)), 0, (s, d) -> s + d)"
+    return f"{sizes} and {estimate(a, b)} >= {percent / 100 - MARGIN} and {100 + percent} * {differ} <= {100 - percent} * ({a}.n + {b}.n)"
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with the near-duplicate group that they are in.
 
@@ -129,7 +146,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     that share a band are candidates: first each bucket's smallest id against
     the others, next the smallest id that this left outside, then all pairs
     that are still in different components.  A pair whose estimate is far below
-    the threshold is dropped; full sets decide on the others.  Pairs within a
+    the threshold, or whose shingles can't be common enough by their counts, is
+    dropped; full sets decide on the others.  Pairs within a
     component that is known by then needn't be compared, so a group of n near
     copies takes a few times n comparisons.  At the threshold a pair shares no
     band with probability (1 - similarity ** 5) ** 25: 7e-5 at 0.8, 1e-6 at 0.85.
@@ -143,7 +161,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     first = found.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("class_id"))
     classed = written(found.join(first, "set_hash", "left").withColumn("keys", F.expr("if(doc_id = class_id, keys, null)")).drop("set_hash"), "classes")
     reps = classed.where("doc_id = class_id").dropDuplicates(["doc_id"])
-    signed = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *SIGNATURE)
+    signed = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "counts", *SIGNATURE)
 
     rows = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("center")).where("c > 1").drop("c")
@@ -153,23 +171,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs a, b (columns of a bucket's side each, with signatures), those that are links."""
-        near = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and {estimate('a', 'b')} >= {percent / 100 - MARGIN}"
+        near = may_link("a", "b", percent)
         likely = pairs.join(signed.alias("a"), F.expr("a.id = ida")).join(signed.alias("b"), F.expr("b.id = idb")).where(near).select("ida", "idb")
         both = likely.join(sets.select(F.col("id").alias("idb"), F.col("shingles").alias("sb")), "idb").join(sets.select(F.col("id").alias("ida"), F.col("shingles").alias("sa")), "ida")
         both = both.withColumn("common", F.expr("size(array_intersect(sa, sb))"))
         return both.where(f"100 * common >= {percent} * (size(sa) + size(sb) - common)").select(F.col("ida").alias("a"), F.col("idb").alias("b"))
 
-    links = written(confirmed(buckets.where("id <> center").select(F.col("center").alias("ida"), F.col("id").alias("idb")).distinct()), "links")
+    # A class's own smallest center first: one pair for each class, however many bands it shares.
+    pairs = buckets.where("id <> center").groupBy(F.col("id").alias("idb")).agg(F.min("center").alias("ida"))
+    links = written(confirmed(pairs), "links")
     roots = connected_components(links)
-    for last in (False, True):
+    for step in ("center", "outside", "outside", "all"):
         open_ = still_open(buckets, roots)
         if not open_.limit(1).count():
             break
-        if last:
+        if step == "all":
             pairs = open_pairs(open_, signed, percent)
+        elif step == "center":
+            pairs = one_each(open_.where("root <> center_root").select("id", F.col("center").alias("other"), F.col("center_root").alias("other_root")))
         else:
-            outside = open_.where("root <> center_root").groupBy("key").agg(F.min(F.struct("id", "root")).alias("o"))
-            pairs = open_.join(outside, "key").where("id <> center and root <> o.root").select(F.col("o.id").alias("ida"), F.col("id").alias("idb"))
+            outside = open_.where("root <> center_root").groupBy("key").agg(F.min_by(F.struct("id", "root"), F.struct(F.xxhash64("id", "key", F.lit(step)), "id")).alias("o"))
+            pairs = one_each(open_.join(outside, "key").where("root <> o.root").select("id", F.col("o.id").alias("other"), F.col("o.root").alias("other_root")))
         more = written(confirmed(pairs.select(F.least("ida", "idb").alias("ida"), F.greatest("ida", "idb").alias("idb")).distinct()), "links")
         if more.limit(1).count():
             links = links.union(more)
@@ -186,10 +208,16 @@ def still_open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return written(rooted.join(mixed_, "key"), "open")
 
 
+def one_each(candidates: DataFrame) -> DataFrame:
+    """Of candidates (id, other, other_root) one for each id and component of the others: ida, idb."""
+    best = candidates.groupBy("id", "other_root").agg(F.min("other").alias("other"))
+    return best.select(F.col("other").alias("ida"), F.col("id").alias("idb"))
+
+
 def open_pairs(open_: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Pairs of a bucket in different components whose estimate passes; one side is outside its center's component."""
     rows = open_.join(signed, "id").withColumn("outside", F.expr("root <> center_root"))
-    likely = f"a.root <> b.root and (not b.outside or a.id < b.id) and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and {estimate('a', 'b')} >= {percent / 100 - MARGIN}"
+    likely = f"a.root <> b.root and (not b.outside or a.id < b.id) and {may_link('a', 'b', percent)}"
     return rows.where("outside").alias("a").join(rows.alias("b"), F.expr(f"a.key = b.key and {likely}")).select(F.col("a.id").alias("ida"), F.col("b.id").alias("idb"))
 
 
