@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 #: Labelled documents that the model is fitted on, at most, and buckets of features.
 FIT_DOCS, BUCKETS = 6000, 1 << 20
 #: Lengths of word beginnings that are features.
@@ -64,32 +66,69 @@ class Model:
         return float(sum(1 / (1 + np.exp(np.clip(c - score, -500, 500))) for c in self.cuts))
 
 
-def fit(rows: list[np.ndarray], grades: list[int], steps: int = STEPS) -> Model:
-    """Fit on features() and grades of documents, in any order.
+def document_features(raw: bytes) -> np.ndarray:
+    """features() from bytes."""
+    return np.frombuffer(raw, np.int32).reshape(-1, len(HEADS) + 1)
+
+
+def evidence(sample: DataFrame) -> dict[int, float]:
+    """Buckets that speak for toxicity, with how much: the lower bound of the log odds ratio between toxic and other documents.
+
+    sample: grade and f (features() as bytes) of each document.  Tasks give a
+    row for each bucket that they saw, Spark adds them up, and only buckets
+    with enough evidence reach the driver, BUCKETS at most.
+    """
 
-    A feature's evidence is the lower bound of its log odds ratio between toxic
-    and other documents.  Weights start there, are held to it softly, and are
-    never negative.  With fewer than two grades every document gets the only
-    grade there is.
+    def run(batches):
+        toxic, every = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for grade, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                once = np.unique(document_features(raw))  # a document counts once for a feature
+                once = once[once >= 0]
+                every[once] += 1
+                toxic[once] += grade > 0
+        seen = np.flatnonzero(every)
+        for at in range(0, len(seen), 50_000):
+            own = seen[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(toxic[own]), pa.array(every[own])], names=["bucket", "toxic", "n"])
+
+    whole = sample.agg(F.count("*").alias("docs"), F.coalesce(F.count_if(F.expr("grade > 0")), F.lit(0)).alias("bad")).first()
+    bad, good = whole["bad"], whole["docs"] - whole["bad"]
+    each = sample.select("grade", "f").mapInArrow(run, "bucket long, toxic long, n long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    found = each.where(f"n >= {LEAST}").select("bucket", F.expr(f"ln((toxic + 0.5D) / {bad + 1}) - ln((n - toxic + 0.5D) / {good + 1}) - 1.96D * sqrt(1 / (toxic + 0.5D) + 1 / (n - toxic + 0.5D))").alias("evidence"))
+    return {r["bucket"]: r["evidence"] for r in found.where(F.col("evidence") >= EVIDENCE).collect()}
+
+
+def fit(sample: DataFrame, steps: int = STEPS) -> Model:
+    """Fit on documents: i (an id that orders them), grade and f (features() as bytes).
+
+    Weights start at evidence(), are held to it softly, and are never negative.
+    The driver gets the few features of each document that speak.  With fewer
+    than two grades every document gets the only grade there is.
     """
-    order = np.lexsort((np.array([len(r) for r in rows], np.int64), np.array(grades, np.int64)))
-    rows, y = [rows[i] for i in order], np.array([grades[i] for i in order], np.int64)
+    known = evidence(sample)
+
+    def run(batches):
+        weigh = np.zeros(BUCKETS)
+        weigh[list(known)] = list(known.values())
+        for batch in batches:
+            spoken = []
+            for raw in batch.column(2).to_pylist():
+                words = document_features(raw)
+                best = words[np.arange(len(words)), np.argmax(np.where(words >= 0, weigh[words], -1), axis=1)]
+                spoken.append(np.sort(best[weigh[best] > 0]).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spoken, pa.list_(pa.int32()))], names=["i", "grade", "spoken"])
+
+    rows = sorted((r["grade"], r["i"], r["spoken"]) for r in sample.select("i", "grade", "f").mapInArrow(run, "i long, grade int, spoken array<int>").collect())
+    y = np.array([g for g, _, _ in rows], np.int64)
     n, top = len(y), int(y.max()) if len(y) else 0
     if len(set(y.tolist())) < 2:
         return Model({}, [-50.0] * top)
-    words, of = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
-    once = np.unique((of[:, None] * np.int64(BUCKETS) + words)[words >= 0])  # a document counts once for a feature
-    bucket, doc = once % BUCKETS, once // BUCKETS
-    toxic, every = np.bincount(bucket[y[doc] > 0], minlength=BUCKETS), np.bincount(bucket, minlength=BUCKETS)
-    bad, other = int((y > 0).sum()), every - toxic
-    evidence = np.log((toxic + 0.5) / (bad + 1)) - np.log((other + 0.5) / (n - bad + 1)) - 1.96 * np.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))
-    evidence = np.where((every >= LEAST) & (evidence >= EVIDENCE), evidence, 0.0)
-    best = words[np.arange(len(words)), np.argmax(np.where(words >= 0, evidence[words], -1), axis=1)]
-    speaks = evidence[best] > 0
-    names, column = np.unique(best[speaks], return_inverse=True)
+    names, column = np.unique(np.array([b for _, _, own in rows for b in own], np.int64), return_inverse=True)
+    of = np.repeat(np.arange(n), [len(own) for _, _, own in rows])
     share = np.array([np.mean(y >= k) for k in range(1, top + 1)])
     cuts = np.maximum.accumulate(np.log((1 - share + 1e-3) / (share + 1e-3)))
-    weights, cuts = descend(column, of[speaks], y, evidence[names], cuts, steps)
+    weights, cuts = descend(column, of, y, np.array([known[b] for b in names.tolist()]), cuts, steps)
     return Model({int(b): float(w) for b, w in zip(names, weights, strict=True)}, cuts.tolist())
 
 
@@ -144,8 +183,9 @@ def labelled_grades(labels: DataFrame) -> DataFrame:
 def fit_on(docs: DataFrame, grades: DataFrame, limit: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on a sample of labelled documents, limit at most: those whose ids come first in the order of a hash.
 
-    Features are taken on the executors, whole texts; the driver gets their
-    buckets.  No labels, or labels of one grade: a model that gives that grade.
+    Features are taken on the executors, from whole texts, and written to the
+    shared folder.  No labels, or labels of one grade: a model that gives that
+    grade.
     """
     sample = grades.select(F.col("doc_id").cast("long").alias("_id"), F.col("grade").cast("int").alias("_grade")).orderBy(F.xxhash64("_id"), "_id").limit(limit)
     joined = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")  # limit rows at most
@@ -155,8 +195,7 @@ def fit_on(docs: DataFrame, grades: DataFrame, limit: int = FIT_DOCS, id_col: st
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([features(t or "", memo).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["i", "grade", "f"])
 
-    rows = sorted((r["i"], r["grade"], bytes(r["f"])) for r in joined.mapInArrow(run, "i long, grade int, f binary").collect())
-    return fit([np.frombuffer(f, np.int32).reshape(-1, len(HEADS) + 1) for _, _, f in rows], [g for _, g, _ in rows])
+    return fit(written(joined.mapInArrow(run, "i long, grade int, f binary"), "features"))
 
 
 PAIR = np.dtype([("bucket", "<i8"), ("weight", "<f8")])
