@@ -215,9 +215,14 @@ def one_each(candidates: DataFrame) -> DataFrame:
 
 
 def open_pairs(open_: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket in different components whose estimate passes; one side is outside its center's component."""
-    rows = open_.join(signed, "id").withColumn("outside", F.expr("root <> center_root"))
-    likely = f"a.root <> b.root and (not b.outside or a.id < b.id) and {may_link('a', 'b', percent)}"
+    """Pairs of a bucket in different components whose estimate passes; one side is outside its center's component.
+
+    A pair comes from the first of the buckets that both share, not from each:
+    all buckets of a pair in different components are open.
+    """
+    mine = open_.groupBy("id").agg(F.collect_set("key").alias("mine"))  # BANDS at most
+    rows = open_.join(signed.join(mine, "id"), "id").withColumn("outside", F.expr("root <> center_root"))
+    likely = f"a.root <> b.root and (not b.outside or a.id < b.id) and {may_link('a', 'b', percent)} and array_min(array_intersect(a.mine, b.mine)) = a.key"
     return rows.where("outside").alias("a").join(rows.alias("b"), F.expr(f"a.key = b.key and {likely}")).select(F.col("a.id").alias("ida"), F.col("b.id").alias("idb"))
 
 
