@@ -57,9 +57,8 @@ def roots(aliases: DataFrame, ident: str, target: str, depth: int = 64) -> DataF
     are doubled, so chains of depth links take log2(depth) joins.
     """
     low = aliases.select(F.col(ident).alias("id"), F.coalesce(target, ident).alias("root"))
-    ends = low.where("id = root").select(F.col("id").alias("root"))
+    going = low.where("id <> root").select(F.col("id").alias("root"), F.lit(True).alias("open")).dropDuplicates(["root"])  # a chain that rests on one of these hasn't ended
     for _ in range(depth.bit_length()):
         up = low.select(F.col("id").alias("root"), F.col("root").alias("above"))
         low = low.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"))
-    open_ = low.select(F.col("id").alias("root")).join(ends, "root", "left_anti").withColumn("open", F.lit(True))
-    return low.join(open_, "root", "left").select(F.col("id").alias(ident), F.when(F.col("open").isNull(), F.col("root")).alias("root"))
+    return low.join(going, "root", "left").select(F.col("id").alias(ident), F.when(F.col("open").isNull(), F.col("root")).alias("root"))
