@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
             links = links.union(more)
             roots = connected_components(links)
     out = classed.join(roots.select(F.col("id").alias("class_id"), F.col("component").alias("root")), "class_id", "left")
-    component = F.coalesce("root", "class_id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "class_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "class_id", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
