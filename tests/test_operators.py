@@ -2,11 +2,13 @@
 
 import datetime
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 from wayfold.functions import html, measures, text
-from wayfold.operators import evidence, forecasts, fusion, ingest, joins, memory, places, work
+from wayfold.operators import evidence, forecasts, fusion, ingest, joins, memory, pairs, places, work
 
 T = datetime.datetime
 
@@ -166,3 +168,28 @@ def test_event_summary_and_memberships(spark):
     assert (r.title, r.category, r.families, r.observations) == ("best", "quake", 2, 3) and r.confidence == pytest.approx(0.42 + 0.28 + 0.12)
     log = spark.createDataFrame([(1, "link", "a", "e1"), (2, "move", "a", "e2"), (3, "link", "b", "e1"), (4, "remove", "b", None), (5, "link", "c", "e1"), (6, "separate", "c", "e1"), (7, "link", "c", "e1"), (8, "link", "d", "e1"), (9, "separate", "d", "e1"), (10, "link", "d", "e2")], "seq int, op string, observation string, event string")
     assert {r.observation: r.event for r in fusion.memberships(log).collect()} == {"a": "e2", "d": "e2"}
+
+
+def test_pairs_of_similar_sets(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TILE", 40)
+    monkeypatch.setattr(pairs, "COMMON", 3)
+    rng = random.Random(2)
+    words = [f"w{i:02}" for i in range(90)]
+    rows = [(i, rng.choice("xy"), rng.choice("pq"), " ".join(rng.sample(words, rng.choice([1, 2, 5, 20, 40])))) for i in range(300)]
+    rows += [(900, "x", "p", "first words differ here alpha beta gamma"), (901, "x", "p", "other start and here alpha beta gamma"), (902, "x", "q", "first words differ here alpha beta gamma"), (903, "x", "q", "Other start, and HERE alpha beta gamma"), (904, "x", "p", "first words differ; here alpha beta gamma")]
+    rows += [(910, "x", "p", None), (911, "x", "p", "a b"), (912, None, "p", "first words differ here"), (913, None, "p", "first words differ there")]
+    first, expected = {}, set()
+    for i, lang, source, t in rows:
+        every = re.findall("[a-z0-9]+", (t or "").lower())
+        if lang and any(len(w) > 2 for w in every):
+            first.setdefault((lang, source, *every), (i, lang, source, {w for w in every if len(w) > 2}))
+    for a in first.values():
+        for b in first.values():
+            k, every = len(a[3] & b[3]), len(a[3] | b[3])
+            if a[0] < b[0] and a[1:3] == b[1:3] and 10 * k >= 3 * every:
+                expected.add((a[0], b[0], k, every))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    sets = pairs.token_sets(docs, "doc_id", "text", ["lang", "source"])
+    got = [tuple(r) for r in pairs.similar_sets(sets, "doc_id", ["lang", "source"], 30).collect()]
+    assert len(got) == len(expected) and set(got) == expected and {(900, 901), (902, 903)} <= {g[:2] for g in got}
+    assert pairs.similar_sets(sets.limit(0), "doc_id", ["lang", "source"], 30).count() == 0
