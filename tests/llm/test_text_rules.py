@@ -181,6 +181,18 @@ def test_html_pages():
     assert html_text.main_text("<p>unclosed <b>markup") == "unclosed markup"
 
 
+def test_html_pages_of_short_blocks():
+    blocks = [f"A short block no. 000{i}" for i in range(9)]
+    for n in range(1, 10):
+        assert html_text.main_text("".join(f"<p>{b}</p>" for b in blocks[:n])) == " ".join(blocks[:n])
+    body = "Plain text without an article element goes on for quite some time here. " * 8
+    menu = "".join(f"<li><a href={i}>entry {i}</a></li>" for i in range(4))
+    lead = "".join(f"<p>{b}</p>" for b in blocks[:5])
+    page = f"<div>Top</div><ul>{menu}</ul><div>{lead}<p>{body}</p><p>{body}</p><p>The end</p></div><ul>{menu}</ul><div>Back</div>"
+    assert html_text.main_text(page) == " ".join([*blocks[:5], body.strip(), body.strip(), "The end"])
+    assert html_text.main_text(f"<div>{body}</div><article><p>Short</p><nav>a</nav><nav>b</nav><nav>c</nav><p>No</p></article>") == "Short No"
+
+
 def test_html_on_spark(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, None), (2, None, None, None)], "page_id long, url string, html string, text string")
     out = html_text.extract(pages)

@@ -2,10 +2,14 @@
 
 Markup is stripped into lines, one for each block of the page.  A line's weight
 is its number of visible characters; lines of menus, notices, forms and the
-like weigh nothing, and neither do lines outside the article element where a
-page has one.  Weights are summed over windows of some lines.  Text surges
-where the sums rise over a threshold and dives where they fall to zero; what
-stands between, less the weightless lines, is the page's text.
+like weigh nothing.  Weights are summed over windows of some lines.  A run of
+lines lasts until the sums dive to zero; it is text if they surge over a
+threshold anywhere in it.  The threshold is a share of the page's own mean sum,
+and limited, so a page of short lines only keeps them.
+
+Where a page has an article or main element, that element decides instead: all
+lines in it that weigh anything are its text, as its author has said where the
+text is, and a threshold could only lose short lines of it.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ ASIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 #: Words in class, id or role of elements that hold no article text.
 WORDS = frozenset("ad ads adv advert adverts advertisement advertisements sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside widget widgets footer foot masthead comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager toolbar skip complementary contentinfo".split())
 
-#: Lines of a window; characters that a window needs where a page names no article.
-WINDOW, SURGE = 3, 86
+#: Lines of a window; where a page names no article, the share of its mean window that a run's largest window needs, and the characters that always suffice.
+WINDOW, SHARE, SURGE = 3, 0.1, 86
 
 
 def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
@@ -132,18 +136,19 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     lines = lines_of(html or "")
     named = any(article and not aside for _, aside, article, _ in lines)
     weights = [0 if aside or named and not article or not named and 2 * linked > len(text) else len(text) for text, aside, article, linked in lines]
+    if named:
+        return " ".join(line[0] for line, w in zip(lines, weights, strict=True) if w)
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    need = 1 if named or sum(weights) < surge else surge
+    full = [x for x in sums if x]
+    need = min(surge, SHARE * sum(full) / len(full)) if full else surge
     keep, i = [], 0
     while i < len(lines):
-        if sums[i] < need or not weights[i]:
-            i += 1
-            continue
         end = i  # the text dives after the last line whose window isn't empty
         while end < len(lines) and sums[end]:
             end += 1
-        keep += [lines[k][0] for k in range(i, end) if weights[k]]
-        i = end
+        if max(sums[i:end], default=0) >= need:
+            keep += [lines[k][0] for k in range(i, end) if weights[k]]
+        i = end + 1
     return " ".join(keep)
 
 
