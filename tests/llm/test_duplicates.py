@@ -1,5 +1,6 @@
 """Near duplicates and components against brute force; the pipeline's stages."""
 
+import math
 import random
 import re
 
@@ -61,6 +62,14 @@ def near_corpus():
     return list(enumerate(rows))
 
 
+def test_estimate_loses_less_than_bands():
+    n, chance = minhash.MINIMA, 2.0**-minhash.BITS
+    for s in (0.8, 0.85):
+        p, least = s + (1 - s) * chance, s - minhash.MARGIN
+        lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1) if (k / n - chance) / (1 - chance) < least - 1e-12)
+        assert lost < (1 - s**minhash.ROWS) ** minhash.BANDS / 10
+
+
 def test_minhash_against_all_pairs(spark):
     rows = near_corpus()
     docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, key string")

@@ -14,8 +14,8 @@ from .common import connected_components, mixed, written
 MINIMA, BANDS, ROWS, BITS = 128, 25, 5, 4
 LONGS = MINIMA * BITS // 64
 WORDS = 5
-#: An estimate may fall short of the threshold by so much before a pair is dropped: over four standard deviations.
-MARGIN = 0.15
+#: An estimate may fall short of the threshold by so much before a pair is dropped: over five standard deviations, so that this loses less than the bands do.
+MARGIN = 0.2
 
 #: Parts of the hash space in which a set's shingles are counted.
 PARTS = 64
@@ -150,7 +150,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     dropped; full sets decide on the others.  Pairs within a
     component that is known by then needn't be compared, so a group of n near
     copies takes a few times n comparisons.  At the threshold a pair shares no
-    band with probability (1 - similarity ** 5) ** 25: 7e-5 at 0.8, 1e-6 at 0.85.
+    band with probability (1 - similarity ** 5) ** 25, 4.9e-5 at 0.8 and 4.3e-7
+    at 0.85, and its estimate drops it with 2.0e-7 and 1.9e-8 (binomial tails):
+    4.9e-5 and 4.5e-7 in all.
 
     Null text and text without words: an empty set, linked with nothing.  A
     null id is never linked; its component is null and it is kept.  Rows that
