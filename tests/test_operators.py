@@ -193,3 +193,11 @@ def test_pairs_of_similar_sets(spark, monkeypatch):
     got = [tuple(r) for r in pairs.similar_sets(sets, "doc_id", ["lang", "source"], 30).collect()]
     assert len(got) == len(expected) and set(got) == expected and {(900, 901), (902, 903)} <= {g[:2] for g in got}
     assert pairs.similar_sets(sets.limit(0), "doc_id", ["lang", "source"], 30).count() == 0
+
+
+def test_long_alias_chains_end(spark):
+    chain = [(i, i - 1 if i else None) for i in range(300)] + [(1000 + i, 1000 + (i + 1) % 3) for i in range(3)]
+    aliases = spark.createDataFrame(chain, "i long, t long")
+    expected = {i: 0 for i in range(300)} | {1000 + i: None for i in range(3)}
+    assert {r.i: r.root for r in work.roots(aliases, "i", "t").collect()} == expected
+    assert {r.i: r.root for r in work.roots(aliases, "i", "t", 4).collect()} == expected

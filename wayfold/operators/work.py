@@ -50,15 +50,27 @@ def backoff_seconds(attempts: Column, base: float, most: float, doublings: int)
     return F.least(F.lit(most), base * F.pow(F.lit(2.0), F.least(F.lit(doublings), F.greatest(F.lit(0), attempts - 1))))
 
 
-def roots(aliases: DataFrame, ident: str, target: str, depth: int = 64) -> DataFrame:
+def roots(aliases: DataFrame, ident: str, target: str, depth: int | None = None) -> DataFrame:
     """ident with root, the record that its chain of aliases ends in; null where the chain doesn't end (a cycle).
 
     A null or own target ends a chain, as does one that has no row.  Pointers
-    are doubled, so chains of depth links take log2(depth) joins.
+    are doubled until no chain that ends is still open, so chains of n links
+    take log2(n) joins, and cycles at most log2 of the number of rows.  depth
+    is the length that is expected: so many links are followed before the first
+    look; longer chains are followed to their ends all the same.
     """
     low = aliases.select(F.col(ident).alias("id"), F.coalesce(target, ident).alias("root"))
     going = low.where("id <> root").select(F.col("id").alias("root"), F.lit(True).alias("open")).dropDuplicates(["root"])  # a chain that rests on one of these hasn't ended
-    for _ in range(depth.bit_length()):
-        up = low.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        low = low.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"))
+    rounds, done, most = (depth or 64).bit_length(), 0, None
+    while True:
+        for _ in range(rounds):
+            up = low.select(F.col("id").alias("root"), F.col("root").alias("above"))
+            low = low.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"))
+        done += rounds
+        low, rounds = low.localCheckpoint(), 1
+        if not low.join(going, "root", "left_semi").limit(1).count():
+            break
+        most = aliases.count().bit_length() if most is None else most
+        if done >= most:  # what is open now is a cycle
+            break
     return low.join(going, "root", "left").select(F.col("id").alias(ident), F.when(F.col("open").isNull(), F.col("root")).alias("root"))
