@@ -201,3 +201,17 @@ def test_long_alias_chains_end(spark):
     expected = {i: 0 for i in range(300)} | {1000 + i: None for i in range(3)}
     assert {r.i: r.root for r in work.roots(aliases, "i", "t").collect()} == expected
     assert {r.i: r.root for r in work.roots(aliases, "i", "t", 4).collect()} == expected
+
+
+def test_best_cosine_of_every_vector(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TILE", 30)
+    rng = random.Random(6)
+    rows = [(i, rng.choice("ab"), [rng.gauss(0, 1) for _ in range(rng.choice([3, 3, 4]))]) for i in range(1, 150)] + [(200, "a", [0.0, 0.0, 0.0]), (201, "alone", [1.0]), (202, None, [1.0]), (203, "a", None)]
+    expected = {}
+    for i, g, v in rows:
+        others = [w for j, h, w in rows if j != i and h == g and w]
+        if g and v and others:
+            size = lambda x: math.sqrt(sum(y * y for y in x))
+            expected[i] = max(sum(x * y for x, y in zip(v, w)) / (size(v) * size(w)) if len(v) == len(w) and size(v) and size(w) else 0.0 for w in others)  # noqa: B905
+    got = {r.i: r.best for r in pairs.best_cosine(spark.createDataFrame(rows, "i long, g string, v array<float>"), "i", "g", "v").collect()}
+    assert len(got) == 150 and got == pytest.approx(expected, abs=1e-6)

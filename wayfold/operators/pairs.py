@@ -1,4 +1,4 @@
-"""All pairs of similar token sets within groups of rows, counted tile by tile."""
+"""All pairs within groups of rows, tile by tile: similar token sets, and each vector's nearest other."""
 
 from __future__ import annotations
 
@@ -121,3 +121,45 @@ def similar_sets(rows: DataFrame, ident: str, on: list[str], percent: int) -> Da
         return pa.table([pa.array(np.concatenate([o[k] for o in out]), pa.int64()) for k in range(4)], names=["left_id", "right_id", "common", "every"])
 
     return placed.groupBy(*on, "tile").applyInArrow(count, "left_id long, right_id long, common long, every long")
+
+
+def best_cosine(rows: DataFrame, ident: str, group: str, vector: str) -> DataFrame:
+    """ident, group and best, each vector's highest cosine with another of its group; none for a vector that is alone.
+
+    Vectors of a group are dealt by ident into chunks, and every two chunks are
+    compared in one task.  0 for unequal lengths, empty and zero vectors.  Rows
+    with a null group or vector are left out; ident is a unique long.
+    """
+    sound = rows.where(F.col(group).isNotNull() & F.col(vector).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v"))
+    counts = sound.groupBy("g").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    dealt = sound.join(counts, "g").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("q", F.explode(F.expr("sequence(0, parts - 1)")))
+    placed = dealt.select("id", "g", "v", "part", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"))
+    step = ROWS
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, part = np.asarray(table.column("id")), np.asarray(table.column("part"))
+        lists = table.column("v").combine_chunks()
+        ends, flat = np.asarray(lists.offsets, np.int64), np.asarray(lists.values, np.float64)
+        sizes, best = np.diff(ends), np.full(len(ids), -np.inf)
+        units = {}
+        for d in np.unique(sizes):
+            at = np.flatnonzero(sizes == d)
+            m = flat[ends[at][:, None] + np.arange(d)[None, :]]
+            norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            units[d] = (at, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0))
+        for d, (at, x) in units.items():
+            one = part[at] == table.column("low")[0].as_py()
+            for e, (to, y) in units.items():
+                two = part[to] == table.column("high")[0].as_py()
+                b, yb = to[two], y[two]
+                for k in range(0, int(one.sum()) if len(b) else 0, step):
+                    a, xa = at[one][k : k + step], x[one][k : k + step]
+                    m = xa @ yb.T if d == e else np.zeros((len(a), len(b)))
+                    m[ids[a][:, None] == ids[b][None, :]] = -np.inf
+                    best[a] = np.maximum(best[a], m.max(axis=1))
+                    best[b] = np.maximum(best[b], m.max(axis=0))
+        found = np.isfinite(best)
+        return pa.table({"id": ids[found], "g": table.column("g").filter(pa.array(found)), "best": np.clip(best[found], -1, 1)})
+
+    found = placed.groupBy("g", "low", "high").applyInArrow(compare, f"id long, g {sound.schema['g'].dataType.simpleString()}, best double")
+    return found.groupBy("id", "g").agg(F.max("best").alias("best")).select(F.col("id").alias(ident), F.col("g").alias(group), "best")

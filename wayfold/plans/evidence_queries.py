@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.measures import clamp, cosine, pooled
-from ..operators import evidence, forecasts
+from ..operators import evidence, forecasts, pairs
 from .registry import query, table
 
 
@@ -119,11 +119,25 @@ def embedding_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 with {SIMILAR}, b as (select query_id, label, max(similarity) as best from s group by all)
 select label, case when best >= 0.82 then 'link' when best >= 0.65 then 'review' else 'separate' end as decision, count(*) as n from b group by all""")
 def cluster_decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = similar(spark, sf_dir).groupBy("query_id", "label").agg(F.max(F.round("similarity", 6)).alias("best"))
+    """Decisions on every hundredth vector only, as its SQL asks for; cluster_decision_totals counts those on all."""
+    return decisions(similar(spark, sf_dir).groupBy("query_id", "label").agg(F.max(F.round("similarity", 6)).alias("best")))
+
+
+def decisions(best: DataFrame) -> DataFrame:
+    """Counts of decisions for each label, by the similarity of the best match."""
     decision = F.when(F.col("best") >= 0.82, "link").when(F.col("best") >= 0.65, "review").otherwise("separate")
     return best.groupBy("label", decision.alias("decision")).agg(F.count("*").alias("n"))
 
 
+@query("""
+with b as (select a.vec_id, a.label, max(round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6)) as best from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id group by all)
+select label, case when best >= 0.82 then 'link' when best >= 0.65 then 'review' else 'separate' end as decision, count(*) as n from b group by all""")
+def cluster_decision_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on all vectors."""
+    best = pairs.best_cosine(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    return decisions(best.withColumn("best", F.round("best", 6)))
+
+
 # Hypotheses with their priors, and how an order's status bears on each.
 HYPOTHESES = [("steady", 0.38), ("growing", 0.30), ("fading", 0.14), ("seasonal", 0.10), ("noise", 0.08)]
 RATIOS = {"F": ("fading", 1.8), "O": ("growing", 1.7), "P": ("seasonal", 1.5)}
