@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,13 +64,19 @@ def roots(aliases: DataFrame, ident: str, target: str, depth: int | None = None)
     """
     low = aliases.select(F.col(ident).alias("id"), F.coalesce(target, ident).alias("root"))
     going = low.where("id <> root").select(F.col("id").alias("root"), F.lit(True).alias("open")).dropDuplicates(["root"])  # a chain that rests on one of these hasn't ended
+    spark = aliases.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    path = f"{base or 'file://' + tempfile.mkdtemp(prefix='wayfold-')}/roots-{uuid.uuid4().hex}"
     rounds, done, most = (depth or 64).bit_length(), 0, None
     while True:
         for _ in range(rounds):
             up = low.select(F.col("id").alias("root"), F.col("root").alias("above"))
             low = low.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"))
         done += rounds
-        low, rounds = low.localCheckpoint(), 1
+        low.write.parquet(f"{path}/{done}")  # ends the lineage, which doubles with each round
+        low, rounds = spark.read.schema(low.schema).parquet(f"{path}/{done}"), 1
         if not low.join(going, "root", "left_semi").limit(1).count():
             break
         most = aliases.count().bit_length() if most is None else most
