@@ -3,15 +3,19 @@
 Greedy merging has one encoding for every byte string, and the encoding of a
 word's prefix ends in one token.  So a prefix's state is that last token and
 the prefix in front of it.  A token can end a prefix if it and the token before
-it stay apart when they are merged alone.  Distinct words of a batch go into a
-trie; depth-first, every node takes the one token that can end it, so what
-words share at their start is encoded once.  Reading a word's ids is a walk
-back over those states.
+it stay apart when they are merged alone.
+
+Distinct words of a batch form a trie.  Sorted words are its nodes in
+depth-first order: a word adds the nodes below the prefix that it shares with
+the word before, and one path of states is held.  Every new node takes the one
+token that can end it, so what words share at their start is encoded once.
+Reading a word's ids is a walk back over those states.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -31,8 +35,12 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(other)}
 
 
+#: Strings that are one word, so that the pattern needn't look.
+SIMPLE = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 #: Strings whose words share one trie, which bounds its memory.
-TRIE_WORDS = 40_000
+TRIE_WORDS = 200_000
+#: Bytes that are looked at for the shared start of two words; longer starts are encoded again.
+SHARED = 24
 
 
 class Vocabulary:
@@ -59,18 +67,13 @@ class Vocabulary:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[ids[left], ids[right]] = r
             self.halves.setdefault(ids[left + right], (ids[left], ids[right], r))
-        #: The vocabulary as a trie: byte -> node; key -1 holds the token that ends here.
-        self.root: dict = {}
-        for t, i in ids.items():
-            node = self.root
-            for b in as_bytes[t]:
-                node = node.setdefault(b, {})
-            node[-1] = i
+        self._link(sorted((as_bytes[t], i) for t, i in ids.items()))
         self.word = regex.compile(WORD.format(w=WS))
         #: Special tokens, each of which has "<" in it.
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.raw_ids = [i.to_bytes(4, "little") for i in range(len(self.bytes))]
         self.known: dict[int, bool] = {}
+        self.steps: dict[int, int] = {}
         self.edges: dict[int, tuple[list, list]] = {}
 
     def spines(self, token: int) -> tuple[list, list]:
@@ -102,75 +105,98 @@ class Vocabulary:
         self.known[left << 32 | right] = found
         return found
 
+    def _link(self, tokens: list[tuple[bytes, int]]) -> None:
+        """The vocabulary as a trie with links to the longest proper suffix that is in it; ends has, longest first, the tokens that are suffixes of a node."""
+        self.below: list[dict[int, int]] = [{}]
+        self.suffix, self.ends, whole, depth = [0], [()], {}, [0]
+        for t, i in tokens:
+            at = 0
+            for b in t:
+                to = self.below[at].get(b)
+                if to is None:
+                    to = self.below[at][b] = len(self.below)
+                    self.below.append({})
+                    self.suffix.append(0)
+                    self.ends.append(())
+                    depth.append(depth[at] + 1)
+                at = to
+            whole[at] = i
+        for at in sorted(range(len(depth)), key=depth.__getitem__):
+            for b, to in self.below[at].items():
+                if at:
+                    back = self.suffix[at]
+                    while back and b not in self.below[back]:
+                        back = self.suffix[back]
+                    self.suffix[to] = self.below[back].get(b, 0)
+                self.ends[to] = (((depth[to], whole[to]),) if to in whole else ()) + self.ends[self.suffix[to]]
+
+    def step(self, at: int, byte: int) -> int:
+        """The node of the longest suffix after one byte more."""
+        back = at
+        while back and byte not in self.below[back]:
+            back = self.suffix[back]
+        if len(self.steps) > 500_000:
+            self.steps.clear()
+        to = self.steps[at << 8 | byte] = self.below[back].get(byte, 0)
+        return to
+
     def encode_words(self, words) -> dict[str, bytes]:
         """Ids (little-endian unsigned 32-bit) of every distinct word."""
-        trie: dict = {}
-        deepest = 0
-        for w in words:
-            node, raw = trie, w.encode()
-            for b in raw:
-                below = node.get(b)
-                if below is None:
-                    below = node[b] = {}
-                node = below
-            node[-1] = w
-            deepest = max(deepest, len(raw))
+        coded = sorted((w.encode(), w) for w in words)
+        if not coded:
+            return {}
+        lengths = np.fromiter((len(raw) for raw, _ in coded), np.int64, len(coded))
+        heads = np.array([raw for raw, _ in coded], f"S{SHARED}").view(np.uint8).reshape(-1, SHARED)
+        differ = np.ones((len(coded), SHARED + 1), bool)
+        differ[1:, :SHARED] = heads[1:] != heads[:-1]
+        shared = np.minimum(differ.argmax(1), lengths)
+        shared[1:] = np.minimum(shared[1:], lengths[:-1])
+        shared[0] = 0
         out: dict[str, bytes] = {}
-        if -1 in trie:
-            out[trie.pop(-1)] = b""
-        # By depth: the token that ends the prefix, where it starts, and the starts from which a token may go on.
-        last, start, open_at = [-1] * (deepest + 1), [0] * (deepest + 1), [()] * (deepest + 1)
-        open_at[0] = ((0, self.root),)
-        root, known, raw_ids = self.root, self.known, self.raw_ids
-        stack = [(b, node, 1) for b, node in trie.items()]
-        pop, push = stack.pop, stack.append
-        while stack:
-            byte, node, depth = pop()
-            going, best = [], -1
-            for at, state in open_at[depth - 1]:
-                state = state.get(byte)
-                if state is not None:
-                    going.append((at, state))
-                    if best < 0:
-                        token = state.get(-1, -1)
-                        if token >= 0:
-                            if at:
-                                key = last[at] << 32 | token
-                                apart = known.get(key)
-                                if apart is None:
-                                    apart = self.apart(last[at], token)
-                                if not apart:
-                                    continue
-                            best, begin = token, at
-            last[depth], start[depth] = best, begin
-            for b, below in node.items():
-                if b >= 0:
-                    push((b, below, depth + 1))
-                else:
-                    ids, at = [], depth
-                    while at:
-                        ids.append(raw_ids[last[at]])
-                        at = start[at]
-                    ids.reverse()
-                    out[below] = b"".join(ids)
-            going.append((depth, root))
-            open_at[depth] = going
+        # By depth: the node of the vocabulary, the token that ends the prefix, and where that token starts.
+        deepest = int(lengths.max()) + 1
+        node, last, start = [0] * deepest, [-1] * deepest, [0] * deepest
+        steps, known, ends, raw_ids = self.steps, self.known, self.ends, self.raw_ids
+        for (raw, word), depth in zip(coded, shared.tolist(), strict=True):
+            state = node[depth]
+            for byte in raw[depth:]:
+                depth += 1
+                at = steps.get(state << 8 | byte)
+                state = node[depth] = self.step(state, byte) if at is None else at
+                for size, token in ends[state]:
+                    at = depth - size
+                    if at:
+                        apart = known.get(last[at] << 32 | token)
+                        if apart is None:
+                            apart = self.apart(last[at], token)
+                        if not apart:
+                            continue
+                    last[depth], start[depth] = token, at
+                    break
+            ids = []
+            while depth:
+                ids.append(raw_ids[last[depth]])
+                depth = start[depth]
+            ids.reverse()
+            out[word] = b"".join(ids)
         return out
 
     def learn(self, strings: list[str]) -> list[bytes]:
         """Ids of strings that may hold special tokens; words that they share are encoded once, TRIE_WORDS strings to a trie."""
         if len(strings) > TRIE_WORDS:
             return [x for i in range(0, len(strings), TRIE_WORDS) for x in self.learn(strings[i : i + TRIE_WORDS])]
-        find, words, odd = self.word.findall, [], {}
+        find, simple, words, odd = self.word.findall, SIMPLE.fullmatch, [], {}
         for s in strings:
-            if "<" in s and self.cut is not None and self.cut.search(s):
+            if simple(s):
+                words.append((s,))
+            elif "<" in s and self.cut is not None and self.cut.search(s):
                 odd[s] = [p if p in self.special else find(p) for p in self.cut.split(s) if p]
                 words.append([w for ws in odd[s] if not isinstance(ws, str) for w in ws])
             else:
                 words.append(find(s))
         ids = self.encode_words({w for ws in words for w in ws})
         known = ids.__getitem__
-        return [b"".join(map(known, ws)) if s not in odd else b"".join(self.raw_ids[self.special[p]] if isinstance(p, str) else b"".join(map(known, p)) for p in odd[s]) for s, ws in zip(strings, words, strict=True)]
+        return [known(s) if len(ws) == 1 and ws[0] == s else b"".join(map(known, ws)) if s not in odd else b"".join(self.raw_ids[self.special[p]] if isinstance(p, str) else b"".join(map(known, p)) for p in odd[s]) for s, ws in zip(strings, words, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -180,11 +206,11 @@ def vocabulary(path: str) -> Vocabulary:
 
 @lru_cache(maxsize=2)
 def trie_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(vocabulary(path).learn, words=False)
+    return PieceEncoder(vocabulary(path).learn)
 
 
-#: Characters of text that a worker encodes together.
-TRIE_CHUNK = 2_000_000
+#: Bytes of text that a worker encodes together.
+TRIE_CHUNK = 4_000_000
 
 
 def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:

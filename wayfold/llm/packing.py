@@ -73,6 +73,22 @@ def tokenized_pieces(docs: DataFrame, vocab_path: str, capacity: int, end_id: in
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long")
 
 
+#: Input bytes of a shuffle partition: the least that fills groups of pieces, and the most that a task should read.
+LEAST_BYTES, MOST_BYTES, MOST_PARTS = 8 << 20, 128 << 20, 100_000
+
+
+def _parts(docs: DataFrame, group_pieces: int) -> int:
+    """Shuffle partitions by the input's size: fewer, fuller ones for little input, more than the session's number for much.
+
+    The plan knows the size of files; rows of other origin are counted.
+    """
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    size, usual = int(str(plan.stats().sizeInBytes())), spread(docs.sparkSession)
+    if size >= 1 << 55 or plan.collectLeaves().size() > 1:
+        return max(1, min(usual, 2 * docs.count() // group_pieces))
+    return max(1, min(size // LEAST_BYTES, max(usual, size // MOST_BYTES), MOST_PARTS))
+
+
 def pack(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id: int = 2, group_pieces: int = 4096, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack documents into sequences of capacity ids at most.
 
@@ -94,7 +110,7 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id: int = 2
     like any other row.  Other columns are dropped.  An empty table gives none.
     """
     kind = dict(docs.dtypes)[id_col]
-    parts = max(1, min(spread(docs.sparkSession), 2 * docs.count() // group_pieces))  # fewer, fuller groups where there are few documents
+    parts = _parts(docs, group_pieces)
     pieces = tokenized_pieces(docs, vocab_path, capacity, end_id, id_col, text_col)
     dealt = pieces.withColumn("_deal", F.xxhash64(F.col(id_col), F.lit(seed))).repartition(parts, "_deal")
     dealt = dealt.sortWithinPartitions("_deal", id_col, "start", "ids")

@@ -84,7 +84,7 @@ def write_store(docs: DataFrame, path: str, vocab_path: str, end_id: int = 2, sh
     """Encode every text with the tokenizers library, append end_id, and write a store at path.
 
     Documents stand in ascending order of the id, nulls first; repeated ids by
-    their number of ids, then their frames.  Documents are encoded and
+    their number of ids, then a hash of their frames.  Documents are encoded and
     compressed where they are read; only frames are sorted (a range partition
     for each shard_bytes of frames, one shard each).  A shard appears under its
     name when it is whole, so a task may be run again.
@@ -116,7 +116,8 @@ def write_store(docs: DataFrame, path: str, vocab_path: str, end_id: int = 2, sh
     frames = written(docs.select(id_col, text_col).mapInArrow(compress, "id long, n long, frame binary"), "frames", "none")
     total = frames.select(F.sum(F.octet_length("frame").cast("long"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    ordered = frames.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "n", "frame")
+    order = [F.col("id").asc_nulls_first(), F.col("n"), F.xxhash64("frame")]  # rows of one id may lie in several shards
+    ordered = frames.repartitionByRange(shards, *order).sortWithinPartitions(*order, "frame")
 
     def save(batches):
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
@@ -137,7 +138,10 @@ def write_store(docs: DataFrame, path: str, vocab_path: str, end_id: int = 2, sh
                 out.write(np.array(column, form).tobytes())
             out.write(struct.pack(FOOTER, where, len(ids), MAGIC))
         if ids:
-            system.move(f"{at}/.{name}.{attempt}", f"{at}/{name}")
+            if system.get_file_info(f"{at}/{name}").is_file:  # another attempt at this task has written the same bytes
+                system.delete_file(f"{at}/.{name}.{attempt}")
+            else:
+                system.move(f"{at}/.{name}.{attempt}", f"{at}/{name}")
             yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "docs": [len(ids)], "ids": [sum(counts)]})
         else:
             system.delete_file(f"{at}/.{name}.{attempt}")

@@ -1,14 +1,14 @@
-"""Encoding with a public tokenizer file, memoised on pieces between blanks.
+"""Encoding with a public tokenizer file, memoised on pieces that hardly exceed a word.
 
-Both vocabularies cut a text at the step from a visible character to white
-space before anything else, so a text's ids are the ids of its pieces, one
+Both vocabularies cut a text before anything else at the step from a visible
+character to white space, from a letter to another kind of character and from a
+digit to a letter or sign.  So a text's ids are the ids of its pieces, one
 after another.  Corpus text repeats its pieces; each worker keeps the ids of
 those that it has seen lately (bounded, no effect on results).
 """
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -17,39 +17,76 @@ import pyarrow.compute as pc
 
 #: White space in the sense of Unicode, as the tokenizers' patterns take it.
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: A run of white space that goes on, or ends the text, after a blank that has white space before it: such runs are one word.
-RUN = re.compile(rf"[{WS}] (?:[{WS}]|\Z)")
-#: The same as Arrow's regular expressions write it.
-RUN_RE2 = "[{0}] (?:[{0}]|$)".format("\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}")
-#: A run of white space with the visible characters after it.
-PIECE = re.compile(rf"[{WS}]*[^{WS}]+|[{WS}]+")
-#: Characters that Python's split() takes for white space and the tokenizers don't.
-CONTROL = re.compile(r"[\x1c-\x1f]")
 
 #: A generation of remembered pieces; two are kept.  Longer pieces aren't remembered.
-GENERATION, LONGEST = 150_000, 64
-#: Characters of text that are encoded together.
-CHUNK = 6_000_000
+GENERATION, LONGEST = 300_000, 64
+#: Bytes of text that are encoded together.
+CHUNK = 8_000_000
+
+#: Kinds of bytes: unknown, letter, sign, digit, white space, and the bar, which special tokens have after a letter.
+OTHER, LETTER, SIGN, DIGIT, SPACE, BAR = range(6)
+
+
+def _kinds() -> np.ndarray:
+    kinds = np.zeros(256, np.uint8)
+    for at in range(0x21, 0x7F):
+        c = chr(at)
+        kinds[at] = LETTER if c.isalpha() else DIGIT if c.isdigit() else BAR if c == "|" else SIGN
+    for at in (*range(9, 14), 32):
+        kinds[at] = SPACE
+    return kinds
+
+
+KINDS = _kinds()
+#: Whether texts are cut between two bytes, by kind of the first * 8 + kind of the second.
+CUT = np.zeros(64, bool)
+for _before, _after in [(LETTER, SPACE), (SIGN, SPACE), (DIGIT, SPACE), (BAR, SPACE), (LETTER, SIGN), (LETTER, DIGIT), (DIGIT, LETTER), (DIGIT, SIGN)]:
+    CUT[8 * _before + _after] = True
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Pieces of texts (large strings without nulls) and, for each text, where its pieces begin; one number more at the end.
+
+    Cuts stand between characters that no word of either vocabulary joins, and
+    before an ASCII character only, so that no mark is parted from its letter.
+    Latin letters of two bytes count as letters, but for the dotted capital I,
+    whose lower case ends in a mark.
+    """
+    n = len(texts)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    kinds = KINDS[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+    last = data[lead + 1]
+    signs = ((data[lead] == 0xC3) & ((last == 0x97) | (last == 0xB7))) | ((data[lead] == 0xC4) & (last == 0xB0))
+    kinds[lead[~signs] + 1] = LETTER
+    marked = np.zeros(len(data) + 1, bool)
+    if len(data):
+        marked[1:-1] = CUT[8 * kinds[:-1] + kinds[1:]]
+    marked[ends] = True
+    places = np.flatnonzero(marked)
+    pieces = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(np.ascontiguousarray(places, "<i8")), pa.py_buffer(data))
+    return pieces, np.searchsorted(places, ends)
 
 
 class PieceEncoder:
     """Ids of whole texts.
 
     learn: gives the ids of strings that it is asked for, as bytes
-    (little-endian unsigned 32-bit).  words: whether the vocabulary drops white
-    space.
+    (little-endian unsigned 32-bit).
     """
 
-    def __init__(self, learn, words: bool):
-        self.learn, self.words = learn, words
-        self.now: list[dict[str, bytes]] = [{}, {}]
-        self.before: list[dict[str, bytes]] = [{}, {}]
+    def __init__(self, learn):
+        self.learn = learn
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
-    def recall(self, k: int, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, which may stand as they are (k = 0) or follow a blank each (k = 1)."""
-        if len(self.now[k]) > GENERATION:
-            self.before[k], self.now[k] = self.now[k], {}
-        now, before = self.now[k], self.before[k]
+    def recall(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        if len(self.now) > GENERATION:
+            self.before, self.now = self.now, {}
+        now, before = self.now, self.before
         out = list(map(now.get, pieces))
         new = []
         for i, ids in enumerate(out):
@@ -60,44 +97,19 @@ class PieceEncoder:
                 else:
                     out[i] = now[pieces[i]] = ids
         if new:
-            wanted = list(dict.fromkeys(pieces[i] for i in new))
-            found = dict(zip(wanted, self.learn([" " + p for p in wanted] if k else wanted), strict=True))
-            for i in new:
-                out[i] = found[pieces[i]]
-            now.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST)
+            wanted = [pieces[i] for i in new]
+            for i, p, ids in zip(new, wanted, self.learn(wanted), strict=True):
+                out[i] = ids
+                if len(p) <= LONGEST:
+                    now[p] = ids
         return out
 
     def encode_chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        odd = pc.match_substring_regex(texts, CONTROL.pattern if self.words else RUN_RE2)
-        if pc.any(odd).as_py():
-            return self.encode_odd(texts.to_pylist())
-        cut = pc.utf8_split_whitespace(texts) if self.words else pc.split_pattern(texts, " ")
-        offsets = np.asarray(cut.offsets, np.int64)
-        pieces = cut.flatten().dictionary_encode()
-        offsets = offsets - offsets[0]
-        index = pieces.indices.to_numpy()
-        ids = self.recall(0 if self.words else 1, pieces.dictionary.to_pylist())
-        if not self.words:  # a text's first piece follows no blank
-            heads = cut.flatten().take(pa.array(offsets[:-1])).to_pylist()
-            index = index.copy()
-            index[offsets[:-1]] = np.arange(len(ids), len(ids) + len(heads))
-            ids += self.recall(0, heads)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        pool = np.frombuffer(b"".join(ids), "<u4")
-        starts = np.cumsum(lengths) - lengths
-        taken = lengths[index]
-        ends = np.cumsum(taken)
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.repeat(starts[index] - (ends - taken), taken) + np.arange(total)
-        return pool[where], np.concatenate([[0], ends])[offsets]
-
-    def encode_odd(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for texts of which some have runs of white space that are words, or control characters."""
-        cut = [[x.strip(" ") for x in PIECE.findall(t)] if self.words else PIECE.findall(t) for t in texts]
-        every = list({p for ps in cut for p in ps})
-        ids = dict(zip(every, self.recall(0, every), strict=True))
-        done = [b"".join(map(ids.__getitem__, ps)) for ps in cut]
-        return np.frombuffer(b"".join(done), "<u4"), np.cumsum([0, *map(len, done)]) // 4
+        pieces, offsets = cut(texts)
+        pieces = pieces.dictionary_encode()
+        taken = pa.array(self.recall(pieces.dictionary.to_pylist()), pa.large_binary()).take(pieces.indices)
+        bounds, ids = taken.buffers()[1:]
+        return np.frombuffer(ids or b"", "<u4"), np.frombuffer(bounds, np.int64)[offsets] // 4
 
     def encode(self, texts: pa.Array, chunk: int = CHUNK):
         """Yield (first text, ids, offsets) for runs of texts; ids[offsets[i] : offsets[i + 1]] are those of text first + i.  Null: none."""
@@ -151,4 +163,4 @@ def encoder(path: str) -> PieceEncoder:
     def encode(strings: list[str]) -> list[list[int]]:
         return [e.ids for e in found.encode_batch_fast(strings, add_special_tokens=False)]
 
-    return PieceEncoder(join_learner(encode, special, special_id), words=found.normalizer is not None)
+    return PieceEncoder(join_learner(encode, special, special_id))
