@@ -28,9 +28,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_KM) -> Column:
-    """Great-circle distance."""
+    """Great-circle distance; null unless all four are known."""
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), 2)
-    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2))))
+    chord = F.sqrt(half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2))
+    return 2 * radius * F.asin(F.when(chord > 1, F.lit(1.0)).otherwise(chord))
 
 
 def in_box(lat: Column, lon: Column, south: float, west: float, north: float, east: float) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The words that feature tokens leave out.
+#: Words that tokens() can leave out.
 STOP_WORDS = "a an and are as at be by for from has in is it its of on or that the this to was were will with".split()
 # Query parameters that don't identify a page.
 TRACKING = "fbclid gclid mc_cid mc_eid ref source".split()
@@ -33,12 +33,11 @@ def sentences(text: Column, least: int = 12, most: int = 500) -> Column:
 
 def script_language(text: Column, share: float = 0.2) -> Column:
     """The first script that holds at least a share of the characters that aren't white space, else en."""
-    total = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]", ""))
+    total = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]"))
     out = F.lit("en")
     for name, letters in reversed(SCRIPTS.items()):
-        part = total - F.length(F.regexp_replace(F.regexp_replace(text, r"[\x20\x09-\x0D]", ""), letters, ""))
-        out = F.when((total > 0) & (part >= share * total), name).otherwise(out)
-    return out
+        out = F.when((total > 0) & (F.regexp_count(text, F.lit(letters)) >= share * total), name).otherwise(out)
+    return F.when(F.rlike(text, F.lit("[" + "".join(x[1:-1] for x in SCRIPTS.values()) + "]")), out).otherwise("en")
 
 
 def category(text: Column, terms: dict[str, list[str]], other: str) -> Column:
@@ -64,15 +63,26 @@ def clean(text: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case without default port, path without doubled or final slashes, sorted query without tracking parameters, no fragment.  Other strings than http(s) URLs pass through."""
-    parts = r"^(?i)(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
-    scheme, host = F.lower(F.regexp_extract(url, parts, 1)), F.lower(F.regexp_extract(url, parts, 2))
-    host = F.regexp_replace(host, r"(?<=.):(?:80|443)$", "")
-    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, parts, 3), "/{2,}", "/"), "/$", "")
+    """Scheme and host in lower case without user and default port (80 of http, 443 of https), path without doubled and final slashes but for the root, query decoded, sorted and encoded again without tracking parameters, no fragment.
+
+    A URL with a port that is no number, and a string without scheme and host,
+    pass through, trimmed; null and empty give an empty string.
+    """
+    url = F.coalesce(F.trim(url), F.lit(""))
+    parts = r"^(?i)([a-z][a-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
+    scheme, place = F.lower(F.regexp_extract(url, parts, 1)), F.lower(F.regexp_replace(F.regexp_extract(url, parts, 2), "^.*@", ""))
+    host, port = F.regexp_extract(place, r"^(.*?)(?::([^:\]]*))?$", 1), F.regexp_extract(place, r"^(.*?)(?::([^:\]]*))?$", 2)
+    usual = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+    path = F.regexp_replace(F.concat(F.regexp_extract(url, parts, 3), F.lit("/")), "/{2,}", "/")
+    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/$", ""))
     drop = "^(?:utm_.*|" + "|".join(TRACKING) + ")$"
-    pairs = F.filter(F.split(F.regexp_extract(url, parts, 4), "&"), lambda p: (p != "") & ~F.rlike(F.lower(F.substring_index(p, "=", 1)), F.lit(drop)))
-    query = F.array_join(F.array_sort(pairs), "&")
-    return F.when(F.rlike(url, F.lit("^(?i)https?://")), F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))).otherwise(url)
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    coded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    pairs = F.transform(F.filter(F.split(F.regexp_extract(url, parts, 4), "&"), lambda p: p != ""), lambda p: F.struct(plain(F.substring_index(p, "=", 1)).alias("k"), F.when(F.contains(p, F.lit("=")), plain(F.regexp_replace(p, "^[^=]*=", ""))).otherwise("").alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.rlike(F.lower(p["k"]), F.lit(drop))))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(coded(p["k"]), F.lit("="), coded(p["v"]))), "&")
+    whole = F.concat(scheme, F.lit("://"), host, F.when(usual, "").otherwise(F.concat(F.lit(":"), port)), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(F.rlike(url, F.lit(parts)) & F.rlike(port, F.lit("^[0-9]*$")), whole).otherwise(url)
 
 
 def url_domain(url: Column) -> Column:

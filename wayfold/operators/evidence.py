@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import clamp
@@ -19,37 +19,47 @@ def noisy_or(evidence: DataFrame, claim: list[str], family: str, weight: str, fa
 
 
 def contradictions(evidence: DataFrame, situation: str, family: str, obj: str, at: str) -> DataFrame:
-    """Pairs of evidence on a situation where a later one of another family names another object: situation, family, contradicted_by, n."""
-    a = evidence.select(situation, F.col(family).alias("family"), F.col(obj).alias("_o"), F.col(at).alias("_t"))
-    b = evidence.select(situation, F.col(family).alias("contradicted_by"), F.col(obj).alias("_o2"), F.col(at).alias("_t2"))
-    pairs = a.join(b, situation).where("family <> contradicted_by and _o <> _o2 and _t2 > _t")
-    return pairs.groupBy(situation, "family", "contradicted_by").agg(F.count("*").alias("n"))
+    """Pairs of evidence on a situation where a later one of another family names another object: situation, family, contradicted_by, n.
+
+    Evidence that is alike in family, object and time is counted before it is paired.
+    """
+    counted = evidence.groupBy(situation, F.col(family).alias("family"), F.col(obj).alias("_o"), F.col(at).alias("_t")).agg(F.count("*").alias("_n"))
+    later = counted.select(situation, F.col("family").alias("contradicted_by"), F.col("_o").alias("_o2"), F.col("_t").alias("_t2"), F.col("_n").alias("_n2"))
+    pairs = counted.join(later, situation).where("family <> contradicted_by and _o <> _o2 and _t2 > _t")
+    return pairs.groupBy(situation, "family", "contradicted_by").agg(F.sum(F.col("_n") * F.col("_n2")).alias("n"))
 
 
-def truth_status(claims: DataFrame, situation: str, obj: str) -> DataFrame:
-    """Claims (situation, obj, n_families, base, authoritative) with truth and confidence, in two passes over base confidences.
+def truth_status(claims: DataFrame, situation: str, obj: str, digits: int = 4) -> DataFrame:
+    """Claims (situation, obj, n_families, base, authoritative, factual) with truth and confidence; claims of one situation on different objects are contrary.
 
-    Corroborated by two families or an authority; a contrary claim as strong as
-    max(0.7, base) refutes, any other disputes (confidence 0.65 at most).
+    A factual claim is corroborated by two families or an authority, else
+    unverified.  A contrary claim as strong as max(0.7, base) refutes it and
+    gives its confidence; a weaker one makes a corroborated claim disputed,
+    0.65 at most, and leaves an unverified one as it is.  What isn't factual
+    and has two families is disputed with a contrary claim, else indeterminate,
+    0.55 at most.  Confidence has so many digits.
     """
-    best = claims.groupBy(situation).agg(F.max(F.struct("base", obj)).alias("_1"), F.count("*").alias("_n"))
-    second = claims.join(best, situation).where(f"{obj} <> _1.{obj}").groupBy(situation).agg(F.max("base").alias("_2"))
-    both = claims.join(best, situation).join(second, situation, "left")
+    group = Window.partitionBy(situation)
+    rows = claims.withColumn("_1", F.max(F.struct("base", obj)).over(group))
+    rows = rows.withColumn("_2", F.max(F.when(F.col(obj) != F.col(f"_1.{obj}"), F.col("base"))).over(group))
     other = F.when(F.col(obj) == F.col(f"_1.{obj}"), F.col("_2")).otherwise(F.col("_1.base"))
-    rated = both.select(situation, obj, "n_families", "base", "authoritative", other.alias("_c"))
-    alone = (F.col("n_families") >= 2) | F.col("authoritative")
-    status = F.when(F.col("_c").isNull(), F.when(alone, "corroborated").otherwise("reported")).when(F.col("_c") >= F.greatest(F.lit(0.7), F.col("base")), "refuted").otherwise("disputed")
-    value = F.when(F.col("_c").isNull(), F.col("base")).when(F.col("_c") >= F.greatest(F.lit(0.7), F.col("base")), F.col("_c")).otherwise(F.least(F.lit(0.65), F.col("base")))
-    return rated.select(situation, obj, "n_families", status.alias("truth"), value.alias("confidence"))
+    rated = rows.select(situation, obj, "n_families", "base", "factual", other.alias("_c"), (F.col("factual") & (F.col("authoritative") | (F.col("n_families") >= 2))).alias("_sure"))
+    refuted = F.coalesce(F.col("_c") >= F.greatest(F.lit(0.7), F.col("base")), F.lit(False))
+    contrary = F.col("_c").isNotNull()
+    soft = ~F.col("factual") & (F.col("n_families") >= 2)
+    status = F.when(soft, F.when(contrary, "disputed").otherwise("indeterminate")).when(refuted, "refuted").when(F.col("_sure"), F.when(contrary, "disputed").otherwise("corroborated")).otherwise("unverified")
+    value = F.when(refuted, F.col("_c")).when(F.col("_sure") & contrary, F.least(F.lit(0.65), F.col("base"))).otherwise(F.col("base"))
+    value = F.when(soft, F.least(F.lit(0.55), value)).otherwise(value)
+    return rated.select(situation, obj, "n_families", status.alias("truth"), F.round(clamp(value, 0.0, 0.99), digits).alias("confidence"))
 
 
 def contested(claims: DataFrame, key: list[str], obj: str, family: str, at: str) -> DataFrame:
     """Single-valued predicates with several objects: contested with two families or more, else all but the newest object are superseded; else stands."""
-    objects = claims.groupBy(*key, obj).agg(F.max(at).alias("_at"))
-    groups = claims.groupBy(*key).agg(F.count_distinct(family).alias("_f"), F.count_distinct(obj).alias("_o"))
-    newest = objects.groupBy(*key).agg(F.max_by(obj, F.struct("_at", obj)).alias("_new"))
-    state = F.when(F.col("_o") < 2, "stands").when(F.col("_f") >= 2, "contested").when(F.col(obj) == F.col("_new"), "stands").otherwise("superseded")
-    return objects.join(groups, key).join(newest, key).select(*key, obj, state.alias("state"))
+    group = Window.partitionBy(*key)
+    each = claims.groupBy(*key, obj).agg(F.max(at).alias("_at"), F.min(family).alias("_least"), F.max(family).alias("_most"))
+    wide = each.select("*", F.min("_least").over(group).alias("_f"), F.max("_most").over(group).alias("_g"), F.count("*").over(group).alias("_o"), F.max(F.struct("_at", obj)).over(group).alias("_new"))
+    state = F.when(F.col("_o") < 2, "stands").when(F.col("_f") != F.col("_g"), "contested").when(F.col(obj) == F.col(f"_new.{obj}"), "stands").otherwise("superseded")
+    return wide.select(*key, obj, state.alias("state"))
 
 
 def beta_posterior(outcomes: DataFrame, publisher: str, topic: str, prior: Column, strength: float = 8.0, harm: float = 1.5, reach: float = 0.15, mature: int = 12) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def version_log(records: DataFrame, key: list[str], order: list[str], content: Column) -> DataFrame:
     """Records whose content differs from the one before under the same key, with version (1, 2, ...) and content_hash.
@@ -43,3 +45,24 @@ def append_missing(history: DataFrame, new: DataFrame, key: list[str]) -> DataFr
 def deleted(known: DataFrame, present: DataFrame, key: list[str]) -> DataFrame:
     """Keys that were known and aren't present any more."""
     return known.select(*key).distinct().join(present.select(*key), key, "left_anti")
+
+
+#: Parts of a group of copies: each is joined by itself.
+SALTS = 64
+
+
+def with_copies(rows: DataFrame, key: str, ident: str, carried: list[str] | None = None) -> DataFrame:
+    """Rows with copies, how many rows share their key, and first, the row (ident and carried columns) with the smallest ident among them; null for single rows.
+
+    A null key has no copies.  Keys are written once; a key's rows are dealt to
+    SALTS parts, counted by part, then by key, and joined part by part, and
+    nulls pass by, so no key is one task's.
+    """
+    kept = written(rows, "keys")
+    dealt = kept.where(F.col(key).isNotNull()).withColumn("_s", F.pmod(F.xxhash64(ident), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy(key, "_s").agg(F.count("*").alias("_c"), F.min(F.struct(ident, *(carried or []))).alias("_m"))
+    whole = Window.partitionBy(key)
+    groups = parts.select(key, "_s", F.sum("_c").over(whole).alias("copies"), F.min("_m").over(whole).alias("first")).where("copies > 1")
+    joined = dealt.join(groups, [key, "_s"], "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
+    none = kept.where(F.col(key).isNull()).withColumns({"copies": F.lit(1).cast("long"), "first": F.lit(None).cast(groups.schema["first"].dataType)})
+    return joined.select(*kept.columns, "copies", "first").union(none.select(*kept.columns, "copies", "first"))

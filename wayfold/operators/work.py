@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_path
+
 
 def round_robin(rows: DataFrame, key: str, order: list[Column | str], cursor: str | None, limit: int) -> DataFrame:
     """limit rows, first of every key, then second, ...; keys after the cursor come first within a round.  Adds turn.
@@ -64,11 +63,7 @@ def roots(aliases: DataFrame, ident: str, target: str, depth: int | None = None)
     """
     low = aliases.select(F.col(ident).alias("id"), F.coalesce(target, ident).alias("root"))
     going = low.where("id <> root").select(F.col("id").alias("root"), F.lit(True).alias("open")).dropDuplicates(["root"])  # a chain that rests on one of these hasn't ended
-    spark = aliases.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    path = f"{base or 'file://' + tempfile.mkdtemp(prefix='wayfold-')}/roots-{uuid.uuid4().hex}"
+    spark, path = aliases.sparkSession, shared_path(aliases.sparkSession, "roots")
     rounds, done, most = (depth or 64).bit_length(), 0, None
     while True:
         for _ in range(rounds):

@@ -54,17 +54,18 @@ b as (select l_orderkey, l_returnflag, count(*) as n_families, floor(least(0.98,
 @query(
     TRUTH
     + """,
-c as (select a.*, (select max(x.base) from b x where x.l_orderkey = a.l_orderkey and x.l_returnflag <> a.l_returnflag) as other from b a)
+c as (select a.*, l_returnflag <> 'N' as factual, (select max(x.base) from b x where x.l_orderkey = a.l_orderkey and x.l_returnflag <> a.l_returnflag) as other from b a),
+d as (select *, coalesce(other >= greatest(0.7, base), false) as beaten, factual and n_families >= 2 as sure, not factual and n_families >= 2 as soft from c)
 select l_orderkey, l_returnflag, n_families,
- case when other is null then case when n_families >= 2 then 'corroborated' else 'reported' end when other >= greatest(0.7, base) then 'refuted' else 'disputed' end as truth,
- case when other is null then base when other >= greatest(0.7, base) then other else least(0.65, base) end as confidence from c"""
+ case when soft then case when other is null then 'indeterminate' else 'disputed' end when beaten then 'refuted' when sure then case when other is null then 'corroborated' else 'disputed' end else 'unverified' end as truth,
+ round(least(case when soft then 0.55 else 0.99 end, case when beaten then other when sure and other is not null then least(0.65, base) else base end), 6) as confidence from d"""
 )
 def truth_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers' nations are the families."""
+    """Suppliers' nations are the families; claims that nothing came back are taken for interpretations."""
     nations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     found = evidence.noisy_or(claims(spark, sf_dir).join(nations, "l_suppkey"), ["l_orderkey", "l_returnflag"], "s_nationkey", "weight", 0.75, 0.95, 0.0, 0.98)
-    rated = found.select("l_orderkey", "l_returnflag", "n_families", six_digits("confidence").alias("base"), F.lit(False).alias("authoritative"))
-    return evidence.truth_status(rated, "l_orderkey", "l_returnflag")
+    rated = found.select("l_orderkey", "l_returnflag", "n_families", six_digits("confidence").alias("base"), F.lit(False).alias("authoritative"), (F.col("l_returnflag") != "N").alias("factual"))
+    return evidence.truth_status(rated, "l_orderkey", "l_returnflag", 6)
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import grid_key, in_box
 from ..operators import joins, places
+from ..session import shared_path
 from ..streaming import micro_batches
 from .registry import query, table
 
@@ -131,17 +132,15 @@ def country_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_stream(spark: SparkSession, out: DataFrame, name: str, mode: str) -> DataFrame:
     """Let a stream over files run to its end into files of the shared folder, and read those."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="wayfold-")
-    path = f"{base.rstrip('/')}/wayfold/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     q = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/out")
 
 
-@query()
+@query("""
+with c as (select user_id % 7 as cell, event_type, date_trunc('day', ts)::timestamp as day, count(*) as n, max(value) as max_severity from events group by all)
+select c.* from c, (select max(ts) - interval 1 day as mark from events) where day + interval 1 day <= mark""")
 def stream_daily_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily cells from a stream: the days that the watermark closed."""
     schema = table(spark, sf_dir, "events").schema

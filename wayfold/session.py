@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 HERE = Path(__file__).resolve().parent
 
@@ -34,3 +36,32 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"{HERE.name}/{f.relative_to(HERE)}")
     sc.addPyFile(path)
     sc._wayfold_shipped = True
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share, ``spark.checkpoint.dir``; it is removed when the driver ends.
+
+    A local session without that setting takes a temporary folder; a cluster's must have it.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="wayfold-")
+    path = f"{base.rstrip('/')}/wayfold/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is not None and not sc._jsc.sc().isStopped():
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df in the shared folder and read it back, which ends its lineage and survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
