@@ -190,7 +190,7 @@ def test_html_pages_of_short_blocks():
     lead = "".join(f"<p>{b}</p>" for b in blocks[:5])
     page = f"<div>Top</div><ul>{menu}</ul><div>{lead}<p>{body}</p><p>{body}</p><p>The end</p></div><ul>{menu}</ul><div>Back</div>"
     assert html_text.main_text(page) == " ".join([*blocks[:5], body.strip(), body.strip(), "The end"])
-    assert html_text.main_text(f"<div>{body}</div><article><p>Short</p><nav>a</nav><nav>b</nav><nav>c</nav><p>No</p></article>") == "Short No"
+    assert html_text.main_text(f"<div>Aside</div><article><p>Short</p><nav>a</nav><nav>b</nav><nav>c</nav><p>No</p></article>") == "Short No"
 
 
 def test_html_on_spark(spark):
@@ -198,3 +198,95 @@ def test_html_on_spark(spark):
     out = html_text.extract(pages)
     assert out.columns == ["page_id", "url", "text"] and sorted(r.text for r in out.collect()) == ["", "", html_text.main_text(PAGE)]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_html_windows_overrule_names():
+    body = [f"Paragraph {i} of the long story, told at length and with care for the reader." for i in range(8)]
+    text, page = " ".join(body), "".join(f"<p>{b}</p>" for b in body)
+    # wrappers that are no article: windows outside are far larger
+    assert html_text.main_text(f"<article>card one</article><div>{page}</div><nav>a</nav><nav>b</nav><nav>c</nav><article>card two</article>").startswith("card one " + text)
+    # the only text stands in a part that a class calls a widget
+    assert html_text.main_text(f"<div class='widget'>{page}</div><div>Top</div>") == text + " Top"
+    # a real article keeps even its shortest lines, and nothing beside it comes in
+    assert html_text.main_text(f"<div>Some line beside it</div><article>{page}<p>End</p><div class='ad'>Buy</div><div class='ad'>now</div><div class='ad'>or</div><p>.</p></article><div>Other line</div>") == text + " End ."
+    # long lists of links weigh nothing
+    links = "".join(f"<li><a href=x>a link number {i} with quite a long text to it</a></li>" for i in range(60))
+    assert html_text.main_text(f"<ul>{links}</ul><div>{page}</div><ul>{links}</ul>") == text
+    # without windows that surge there is nothing to overrule: the same page with another window keeps less
+    spread = f"<div><p>{text}</p><ul>{links[:400]}</ul><p>x</p></div>"
+    assert html_text.main_text(spread, window=1) != html_text.main_text(spread, window=30)
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    for part in ("<a", "<a x='", "<a \">\"", "<div></x>", "<script>", "<select>", "<head>", "<", "<!--", "<li>", "<textarea></textarea", "<a class ", "&amp"):
+        began = time.process_time()
+        html_text.main_text(part * (400_000 // len(part)) + ">")
+        assert time.process_time() - began < 5, part
+
+
+def planted(rng, n=400):
+    """Texts with identifiers in several contexts, decoys in others: doc_id, text, spans that should be added."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    forms = [("call", "today"), ("phone :", "or"), ("reach us at", "please"), ("tel", ".")]
+    rows = []
+    for i in range(n):
+        before, after = forms[i % len(forms)]
+        left, right = " ".join(word() for _ in range(6)), " ".join(word() for _ in range(5))
+        number = f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+        kind = i % 10
+        if kind < 6:  # seeds
+            value, wanted = f"+1 ({number[:3]}) {number[4:]}", False
+        elif kind < 8:  # the same contexts, unseen writing
+            value, wanted = number, True
+        else:  # decoys
+            before, after, value, wanted = rng.choice(["order", "version", "invoice no"]), "shipped", number, False
+        text = f"{left} {before} {value} {after} {right}"
+        at = text.index(value)
+        rows.append((i, text, [(3, at, at + len(value))] if wanted else []))
+    # a context without a seed, taught by numbers that the others gave
+    taught = [(w, t[s[0][1] : s[0][2]]) for w, t, s in rows if s][:12]
+    for k, (_, number) in enumerate(taught):
+        text = f"{word()} {word()} extension {number} {word()}"
+        rows.append((n + k, text, [(3, text.index(number), text.index(number) + len(number))]))
+    for k in range(3):
+        number = f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+        text = f"{word()} {word()} extension {number} {word()}"
+        rows.append((2 * n + k, text, [(3, text.index(number), text.index(number) + len(number))]))
+    rows.append((5000, "x" * 5000 + " call 555-666-7777 today " + "y" * 200_000, [(3, 5006, 5018)]))
+    rows.append((5001, 'token = "1234-567-8901abc" and 9f555-666-7777', []))
+    return rows
+
+
+def test_contexts_recall_and_precision(spark):
+    rows = planted(random.Random(9))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] * 2, "doc_id long, text string").repartition(5)
+    found = {r._row.doc_id: {tuple(s) for s in r.spans} - {tuple(s) for s in r.base} for r in pii.find(docs).collect()}
+    wanted = {i: set(s) for i, _, s in rows}
+    hit = sum(len(found[i] & wanted[i]) for i in found)
+    assert hit / sum(map(len, wanted.values())) >= 0.95 and hit / sum(map(len, found.values())) >= 0.95
+    assert all(found[i] == wanted[i] for i in found if i >= 5000) and sum(bool(found[i]) for i in range(800, 803)) == 3
+
+
+def test_url_lists_with_one_domain_above_all(spark):
+    t = datetime.datetime
+    log = spark.createDataFrame([("l", "com", "remove", t(2024, 1, 1)), ("l", "h7.com", "add", t(2024, 1, 1)), ("l", ".".join(["a"] * 200) + ".com", "add", t(2024, 1, 1))], "list string, domain string, action string, at timestamp_ntz")
+    deep = ".".join(["b", *["a"] * 200]) + ".com"
+    rows = [(i, f"http://www.h{i % 50}.com/{i}", t(2024, 1, 1 + i % 28)) for i in range(3000)] + [(9000, f"http://{deep}/", t(2024, 2, 1)), (9001, "http://x.com/" + "y" * 300_000, t(2024, 2, 1))]
+    got = {r._row.page_id: r.blocked for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp_ntz"), log).collect()}
+    assert got == {i: i % 50 == 7 for i in range(3000)} | {9000: True, 9001: False}
+
+
+def test_severity_orders_documents_of_one_quality(spark):
+    rows = [(i, t, g) for i, t, g in toxic_corpus(seed=12) if g != 2]
+    docs = spark.createDataFrame([(i, t + " ordinary" * 200 * (i % 2)) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit_on(docs, spark.createDataFrame([(i, g) for i, _, g in rows if i < 300], "doc_id long, grade int"))
+    severity = {r[0]: r[1] for r in toxicity.score(docs, model).select("_row.doc_id", "severity").collect()}
+    held = [(severity[i], g) for i, _, g in rows if i >= 300]
+    assert np.mean([s for s, g in held if g]) > np.mean([s for s, g in held if not g]) + 0.3
+
+
+def test_quality_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "same words in a text " * 3)] * 3 + [(2, None)] * 2, "doc_id long, text string")
+    assert [r.kept for r in quality.judge(docs).collect()] == [False] * 5
