@@ -1,16 +1,22 @@
 """Personal data: fixed forms, and identifiers found by the contexts that known ones stand in.
 
-The fixed forms give seed entities.  Words around a seed are lexical patterns;
-the same words around other identifier-like strings link patterns to instances.
-Spark scores that graph in rounds: a pattern is as good as the share of its
-occurrences whose instance is believed, an instance is believed if one of its
-patterns is good.  Patterns that score high, with enough different seeds behind
+The fixed forms give seeds.  Words around a seed, and its outer form, are
+lexical patterns of several grains; the same words around other identifier-like
+strings link patterns to instances.  Spark scores that graph in rounds: a
+pattern is as good as the share of its occurrences whose instance is believed,
+an instance is believed as far as the best pattern that is trusted by then is
+good; what only looks like an identifier, as a card number with a wrong check
+digit, is never believed and counts against its contexts.  Instances that are
+believed firmly count as seeds in the next round, so what one context gave
+teaches others.  Patterns that score high, with enough different seeds behind
 them, turn the instances in their contexts into findings.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,12 +37,13 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Strings that may be identifiers in another writing: runs of digits with separators, and spelled-out addresses.
 NUMBER = re.compile(r"\(?[0-9](?:[ ().:/-]{0,2}[0-9]){5,}")
 SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?[(\[](?:at|AT|At)[)\]] ?[A-Za-z0-9-]+(?:(?:\.| ?[(\[](?:dot|DOT|Dot)[)\]] ?)[A-Za-z0-9-]+)+")
-WORD = re.compile(r"[^\W_]+|[^\w\s]")
+WORD = re.compile(r"[^\W_]+|[^\w\s]|_|\n")
+DIGITS = re.compile("[0-9]+")
 
-#: Words of a context on the left, rounds of scoring, and what a pattern needs: score, different seeds, and a pseudo-count against it.
-LEFT, ROUNDS, SCORE, SEEDS, DOUBT = 2, 3, 0.8, 5, 1.0
-#: Characters that are looked at for a context.
-REACH = 60
+#: Rounds of scoring, and what a pattern needs: score, different seeds, and a pseudo-count against it.
+ROUNDS, SCORE, SEEDS, DOUBT = 4, 0.7, 5, 1.0
+#: Belief from which an instance counts as a seed.
+FIRM = 0.8
 
 
 def luhn(digits: str) -> bool:
@@ -89,47 +96,80 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def fits(kind: int, value: str) -> bool:
-    """Whether a string could be an identifier of a kind."""
-    digits = sum(c.isdigit() for c in value)
+def fits(kind: int, value: str) -> bool | None:
+    """Whether a string could be an identifier of a kind; null where it has no likeness to one.  One that looks like it and can't be one counts against its contexts."""
+    digits = re.sub("[^0-9]", "", value)
     if kind == 0:
-        return "at" in value.lower()
+        return True if "at" in value.lower() else None
     if kind == 1:
         parts = re.findall("[0-9]+", value)
-        return len(parts) == 4 and all(map(octet, parts))
-    return 12 <= digits <= 19 if kind == 2 else 7 <= digits <= 15
-
-
-def context(text: str, start: int, end: int) -> list[str]:
-    """Patterns of an occurrence: the LEFT words before it on its line, and the word before with the word after."""
-    left = WORD.findall(text[max(0, start - REACH) : start].rpartition("\n")[2].lower())[-LEFT:]
-    right = WORD.findall(text[end : end + REACH].partition("\n")[0].lower())[:1]
-    left = ["0" if any(c.isdigit() for c in w) else w for w in left]
-    if len(left) < LEFT:
-        return []
-    return ["< " + " ".join(left)] + (["<> " + left[-1] + " _ " + right[0]] if right and not any(c.isdigit() for c in right[0]) else [])
+        return all(map(octet, parts)) if len(parts) == 4 else None
+    if kind == 2:
+        return luhn(digits) if 12 <= len(digits) <= 19 else None
+    return True if 7 <= len(digits) <= 15 else None
+
+
+def shape(value: str) -> str:
+    """A string's outer form: runs of digits by their lengths, words as one letter."""
+    return re.sub(r"[^\W\d_]+", "a", DIGITS.sub(lambda m: f"0{len(m.group())}", value))
+
+
+class Contexts:
+    """Patterns of occurrences in one text, whose words are found once; whole words, however long."""
+
+    def __init__(self, text: str):
+        found = list(WORD.finditer(text))
+        self.starts = [m.start() for m in found]
+        self.words = [m.group() for m in found]
+
+    def word(self, i: int, edge: str) -> str:
+        """A word in lower case, those with digits as 0; the edge of a line as such."""
+        if not 0 <= i < len(self.words) or self.words[i] == "\n":
+            return edge
+        w = self.words[i].lower()
+        return "0" if any(c.isdigit() for c in w) else w
+
+    def patterns(self, start: int, end: int, value: str) -> list[str]:
+        """Of an occurrence: the two words before it, the word before and after, and the word before with the value's form.  The start and the end of a line count as words; two edges alone are no pattern."""
+        i, j = bisect_left(self.starts, start), bisect_left(self.starts, end)
+        near, right = self.word(i - 1, "^"), self.word(j, "$")
+        far = self.word(i - 2, "^") if near != "^" else "^"
+        out = []
+        if (far, near) != ("^", "^"):
+            out.append(f"< {far} {near}")
+        if near not in ("^", "0") and right not in ("$", "0"):
+            out.append(f"<> {near} _ {right}")
+        if near.isalpha():
+            out.append(f"<~ {near} {shape(value)}")
+        return out
 
 
 def occurrences(text: str) -> tuple[list[tuple[int, int, int]], list[tuple]]:
-    """Base spans of a text, and all occurrences: kind, start, end, instance, patterns, whether it is a seed."""
+    """Base spans of a text, and all occurrences: kind, start, end, instance, patterns, whether it is a seed, whether it could be one of that kind.  Digits inside a longer word are none."""
     base = base_spans(text)
-    found = [(k, a, b, text[a:b].lower(), context(text, a, b), True) for k, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
     others = [*NUMBER.finditer(text), *(SPELLED.finditer(text) if "(" in text or "[" in text else ())]
+    if not base and not others:
+        return base, []
+    contexts = Contexts(text)
+    found = [(k, a, b, text[a:b].lower(), contexts.patterns(a, b, text[a:b]), True, True) for k, a, b in base]
+    taken = sorted((a, b) for _, a, b in base)
+    reach = [0, *accumulate((b for _, b in taken), max)]
     for m in others:
         a, b = m.span()
         if text[a] == "(" and ")" not in m.group():
             a += 1
-        if any(x < b and a < y for x, y in taken):
+        if a and text[a - 1].isalnum() or text[b : b + 1].isalnum():
+            continue
+        if reach[bisect_left(taken, (b, 0))] > a:  # one that begins before its end reaches into it
             continue
-        patterns = context(text, a, b)
+        patterns = contexts.patterns(a, b, text[a:b])
         if patterns:
-            found += [(k, a, b, text[a:b].lower(), patterns, False) for k in range(len(KINDS)) if fits(k, text[a:b])]
+            found += [(k, a, b, text[a:b].lower(), patterns, False, fit) for k in range(len(KINDS)) if (fit := fits(k, text[a:b])) is not None]
     return base, found
 
 
 SPAN = "struct<kind: int, start: long, end: long>"
-OCCURRENCE = "struct<kind: int, start: long, end: long, instance: string, patterns: array<string>, seed: boolean>"
+OCCURRENCE = "struct<kind: int, start: long, end: long, instance: string, patterns: array<string>, seed: boolean, fit: boolean>"
 
 
 def scan(docs: DataFrame, text_col: str, carried: list[str]) -> DataFrame:
@@ -140,8 +180,8 @@ def scan(docs: DataFrame, text_col: str, carried: list[str]) -> DataFrame:
     def run(batches):
         number = TaskContext.get().partitionId() << 40
         span = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-        occurrence = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string())), ("seed", pa.bool_())])
-        names = [("kind", "start", "end"), ("kind", "start", "end", "instance", "patterns", "seed")]
+        occurrence = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string())), ("seed", pa.bool_()), ("fit", pa.bool_())])
+        names = [("kind", "start", "end"), ("kind", "start", "end", "instance", "patterns", "seed", "fit")]
         for batch in batches:
             both = [occurrences(t) for t in batch.column(1).to_pylist()]
             spans, found = ([[dict(zip(n, x, strict=True)) for x in b[k]] for b in both] for k, n in enumerate(names))
@@ -153,16 +193,18 @@ def scan(docs: DataFrame, text_col: str, carried: list[str]) -> DataFrame:
 
 def good_patterns(scanned: DataFrame, rounds: int = ROUNDS, score: float = SCORE, seeds: int = SEEDS) -> DataFrame:
     """kind, pattern and score of patterns to trust, from the graph of patterns and instances of the whole corpus."""
-    each = scanned.select(F.explode("found").alias("f")).select("f.kind", "f.instance", "f.seed", F.explode("f.patterns").alias("pattern"))
-    edges = written(each.groupBy("kind", "pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
-    belief = edges.select("kind", "pattern", "instance", "n", "seed", F.col("seed").cast("double").alias("belief"))
-    scores = None
+    each = scanned.select(F.explode("found").alias("f")).select("f.kind", "f.instance", "f.seed", "f.fit", F.explode("f.patterns").alias("pattern"))
+    edges = written(each.groupBy("kind", "pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"), F.max("fit").alias("fit")), "edges")
+    belief = edges.withColumn("belief", F.col("seed").cast("double"))
+    trusted = (F.col("score") >= score) & (F.col("seeds") >= seeds)
     for step in range(rounds):
-        scores = belief.groupBy("kind", "pattern").agg((F.sum(F.col("n") * F.col("belief")) / (F.sum("n") + DOUBT)).alias("score"), F.count_if("seed").alias("seeds"))
-        if step + 1 < rounds:
-            best = edges.where("not seed").join(scores.where(f"seeds >= {seeds}"), ["kind", "pattern"]).groupBy("kind", "instance").agg(F.max("score").alias("b"))
-            belief = written(edges.join(best, ["kind", "instance"], "left").select("kind", "pattern", "instance", "n", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("b", F.lit(0.0))).alias("belief")), "belief")
-    return scores.where((F.col("score") >= score) & (F.col("seeds") >= seeds)).select("kind", "pattern", "score")
+        known = F.count_if(F.col("seed") | (F.col("belief") >= FIRM)).alias("seeds")
+        scores = belief.groupBy("kind", "pattern").agg((F.sum(F.col("n") * F.col("belief")) / (F.sum("n") + DOUBT)).alias("score"), known).where(trusted)
+        if step + 1 < rounds:  # only patterns that are trusted by now lend belief, so doubtful ones can't raise themselves
+            best = edges.where("fit and not seed").join(scores, ["kind", "pattern"]).groupBy("kind", "instance").agg(F.max("score").alias("b"))
+            lent = F.when(F.col("seed"), 1.0).when(F.col("fit"), F.coalesce("b", F.lit(0.0))).otherwise(0.0)
+            belief = written(edges.join(best, ["kind", "instance"], "left").select("kind", "pattern", "instance", "n", "seed", lent.alias("belief")), "belief")
+    return scores.select("kind", "pattern", "score")
 
 
 def find(docs: DataFrame, text_col: str = "text", carried: list[str] | None = None, rounds: int = ROUNDS, score: float = SCORE, seeds: int = SEEDS) -> DataFrame:
@@ -170,7 +212,9 @@ def find(docs: DataFrame, text_col: str = "text", carried: list[str] | None = No
 
     kind is a place in KINDS.  base holds the fixed forms, leftmost and without
     overlap within a kind; spans holds those and the occurrences in trusted
-    contexts that overlap no base span, by kind, start and end.
+    contexts that overlap no base span, by kind, start and end.  A span that fits
+    several kinds gets the one whose pattern scores highest, of equal ones the
+    first in KINDS.
 
     Null and empty text: no spans.  Rows that repeat are found each, and each
     counts as an occurrence; an instance in many copies is one seed.  Columns of
@@ -178,7 +222,7 @@ def find(docs: DataFrame, text_col: str = "text", carried: list[str] | None = No
     """
     scanned = scan(docs, text_col, carried or docs.columns)
     trusted = written(good_patterns(scanned, rounds, score, seeds), "patterns")
-    open_ = scanned.select("_n", F.explode(F.expr("filter(found, f -> not f.seed)")).alias("f")).select("_n", "f.kind", "f.start", "f.end", F.explode("f.patterns").alias("pattern"))
+    open_ = scanned.select("_n", F.explode(F.expr("filter(found, f -> f.fit and not f.seed)")).alias("f")).select("_n", "f.kind", "f.start", "f.end", F.explode("f.patterns").alias("pattern"))
     new = open_.join(trusted, ["kind", "pattern"]).groupBy("_n", "start", "end").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("b"))  # one kind for a span
     new = new.groupBy("_n").agg(F.collect_list(F.struct((-F.col("b.k")).cast("int").alias("kind"), "start", "end")).alias("more"))
     joined = scanned.select("_row", "_n", "base").join(new, "_n", "left")
