@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: The host of an absolute URL, without user, port and a final dot; works alike in Java's and RE2's regular expressions.
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*[^/?#:.])"
-#: Labels of a host that are looked up, from its right end; no host name has more than 127.
-LABELS = 127
 
 
 def host(url) -> F.Column:
@@ -52,11 +50,15 @@ def judge(captures: DataFrame, log: DataFrame, url_col: str = "url", time_col: s
     or no rows.
     """
     rows = captures.select(F.struct("*").alias("_row"), host(F.col(url_col)).alias("host"), F.col(time_col).alias("_at"))
-    asked = rows.where("host is not null and _at is not null").select("host", "_at").distinct()
-    labels = asked.withColumn("_l", F.split("host", r"\."))
-    domains = labels.select("host", "_at", F.explode(F.expr(f"transform(sequence(1, least(size(_l), {LABELS})), k -> array_join(slice(_l, size(_l) - k + 1, k), '.'))")).alias("domain"))
     valid = intervals(log)
-    found = domains.join(valid, (domains["domain"] == valid["domain"]) & (domains["_at"] >= valid["valid_from"]) & (valid["valid_to"].isNull() | (domains["_at"] < valid["valid_to"])))
-    found = found.groupBy("host", "_at").agg(F.sort_array(F.collect_list(F.struct(valid["list"], valid["domain"], valid["valid_from"]))).alias("matches"))
+    asked = rows.where("host is not null and _at is not null").select("host", "_at").distinct()
+    # Hosts, far fewer than captures, are looked up first: only domains that a list has ever had go on, so a top-level domain's captures meet no key of their own.
+    labels = asked.select("host").distinct().withColumn("_l", F.split("host", r"\."))
+    above = labels.select("host", F.explode(F.expr("transform(sequence(1, size(_l)), k -> array_join(slice(_l, k, size(_l)), '.'))")).alias("domain"))
+    ever = valid.select(F.col("domain").alias("_e")).distinct()
+    listed = above.join(ever, F.col("domain") == F.col("_e"), "left_semi").groupBy("host").agg(F.collect_set("domain").alias("_d"))
+    domains = asked.join(listed, "host").select("host", "_at", F.explode("_d").alias("domain"))
+    found = domains.alias("c").join(valid.alias("v"), F.expr("c.domain = v.domain and c._at >= v.valid_from and (v.valid_to is null or c._at < v.valid_to)"))
+    found = found.groupBy("host", "_at").agg(F.sort_array(F.collect_list(F.struct("v.list", "v.domain", "v.valid_from"))).alias("matches"))
     judged = rows.join(found, ["host", "_at"], "left")
     return judged.select("_row", "host", F.coalesce("matches", F.array().cast("array<struct<list:string,domain:string,valid_from:timestamp_ntz>>")).alias("matches"), F.col("matches").isNotNull().alias("blocked"))
