@@ -132,6 +132,30 @@ def test_embeddings_against_all_pairs(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_one_crowded_cell(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "TILE", 20)
+    monkeypatch.setattr(embed_dedup, "BLOCK", 3)
+    rng = np.random.default_rng(7)
+    centers = np.eye(8)[0] * 5 + rng.normal(size=(300, 8)) * 0.5
+    rows = np.concatenate([centers, centers[:200] + rng.normal(size=(200, 8)) * 0.2, np.repeat(centers[:5], 30, axis=0), rng.normal(size=(40, 8))])
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    links = [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)]
+    expected = {i: (int(near[i].sum()) - 1, c, c == i) for i, c in components(range(len(rows)), links).items()}
+    df = spark.createDataFrame([(i, v.tolist(), "l") for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(df, 0.98).collect()}
+    assert got == expected
+    twice = embed_dedup.near_duplicates(df.limit(50).union(df.limit(50)), 0.98)
+    assert twice.count() == 100
+
+
+def test_minhash_of_one_huge_group(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr(f"if(id % 3 = 0, null, if(id % 3 = 1, '{text}', concat('{text} x', id)))").alias("text"))
+    got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(docs, 80).collect()}
+    assert got == {i: (i, True) if i % 3 == 0 else (1, i == 1) for i in range(3000)}
+
+
 def test_compare_stops_without_losing_links():
     rng = np.random.default_rng(5)
     a = rng.normal(size=(200, 64))

@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     own = getattr(spark.sparkContext, "_wayfold_dir", None)
     if own is None:
         own = spark.sparkContext._wayfold_dir = "file://" + tempfile.mkdtemp(prefix="wayfold-")
@@ -65,6 +67,13 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def again(table: DataFrame) -> DataFrame:
+    """A table that written() gave, read once more, so that it can be joined with itself."""
+    out = table.sparkSession.read.schema(table.schema).parquet(table._wayfold_path)
+    out._wayfold_path = table._wayfold_path
+    return out
+
+
 def spread(spark: SparkSession) -> int:
     """How many partitions a shuffle takes."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

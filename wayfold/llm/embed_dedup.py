@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import again, connected_components, written
 
+#: Tiles of a block's side: a task compares so many with so many.
+BLOCK = 8
 #: Vectors of a tile; leading components that place vectors in cells; components after which a pair's bound is looked at.
 TILE, CELL_DIMS, STEPS = 512, 2, (8, 16, 32, 64, 128, 256, 512, 1024)
 #: Lengths of vectors for which components are fitted; others are compared in the order of their own components.
@@ -23,7 +25,7 @@ def is_sound(vector: str, label: str, ident: str) -> str:
 
 
 def moments(sound: DataFrame) -> DataFrame:
-    """Sums of products of components of unit vectors: dim, i, j, total.  A task gives one row for each pair of components, which Spark adds up."""
+    """Sums of products of components of unit vectors: dim, i, and row i of the matrix as bytes.  A task gives one row for each component, which Spark adds up."""
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
@@ -31,11 +33,14 @@ def moments(sound: DataFrame) -> DataFrame:
             for d, unit in by_length(batch.column(0)):
                 sums[d] = sums.get(d, 0) + unit[1].T @ unit[1]
         for d, m in sums.items():
-            i, j = np.divmod(np.arange(d * d), d)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(d * d, d)), pa.array(i), pa.array(j), pa.array(m.ravel())], names=["dim", "i", "j", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(d, d)), pa.array(np.arange(d)), pa.array([x.tobytes() for x in m], pa.binary())], names=["dim", "i", "row"])
 
-    each = sound.mapInArrow(run, "dim long, i long, j long, total double")
-    return each.groupBy("dim", "i", "j").agg(F.sum("total").alias("total"))
+    def add(table: pa.Table) -> pa.Table:
+        total = np.frombuffer(b"".join(table.column("row").to_pylist()), np.float64).reshape(table.num_rows, -1)
+        return pa.table({"dim": table.column("dim")[:1], "i": table.column("i")[:1], "row": pa.array([total.sum(axis=0).tobytes()], pa.binary())})
+
+    schema = "dim long, i long, row binary"
+    return sound.mapInArrow(run, schema).groupBy("dim", "i").applyInArrow(add, schema)
 
 
 def by_length(vectors: pa.Array):
@@ -57,7 +62,7 @@ def bases(sound: DataFrame) -> dict[int, np.ndarray]:
         return {}
     sums: dict[int, np.ndarray] = {d: np.zeros((d, d)) for d in frequent}
     for r in moments(sound.where(F.size("v").isin(frequent)).select("v")).collect():
-        sums[r["dim"]][r["i"], r["j"]] = r["total"]
+        sums[r["dim"]][r["i"]] = np.frombuffer(r["row"], np.float64)
     return {d: np.linalg.eigh(m)[1][:, ::-1].copy() for d, m in sums.items()}
 
 
@@ -98,6 +103,33 @@ def compare(a: np.ndarray, b: np.ndarray, same: bool, threshold: float) -> tuple
     return i, j
 
 
+LINKS = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+
+
+def linked_tiles(ours: tuple, theirs: tuple, same: bool, threshold: float):
+    """Yield the links of two tiles (number, ids, copies, vectors), if any: counts of links by id, and a spanning forest."""
+    (_, ids_a, copies_a, a), (_, ids_b, copies_b, b) = ours, theirs
+    i, j = compare(a, b, same, threshold)
+    if not len(i):
+        return
+    n = len(a)
+    links = np.concatenate([np.bincount(i, copies_b[j], n), np.bincount(j, copies_a[i], len(b))]).astype(np.int64)
+    root, names = list(range(n + len(b))), [*ids_a.tolist(), *ids_b.tolist()]
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(i.tolist(), (j + n).tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y, key=names.__getitem__)] = min(x, y, key=names.__getitem__)
+    linked = np.flatnonzero(links).tolist()
+    yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in linked], pa.int64()), pa.array(links[linked]), pa.array([names[find(x)] for x in linked], pa.int64())], schema=LINKS)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Vectors with their links: vec_id, n_links, component_id, kept.
 
@@ -109,7 +141,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     Equal vectors of a label form a class, and one stands for all.  Vectors are
     turned into principal components; the first two place them in cells so wide
     that linked vectors are in the same or in touching cells.  A cell's vectors
-    are dealt to tiles of some 512, and tiles of touching cells are compared.
+    are dealt to tiles of some 512, and tiles of touching cells are compared, a
+    block of BLOCK by BLOCK tiles at a time, so that a crowded cell is many tasks.
     A pair of tiles gives counts and a spanning forest of its links, not the
     links themselves, so groups of copies cost rows in proportion to their size.
 
@@ -158,42 +191,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
 
     dealt = dealt.repartition(*cell, "tile")  # else a crowded cell would stay in one task
     tiles = written(dealt.groupBy(*cell, "tile").applyInArrow(assemble, "label string, dim long, g0 long, g1 long, tile long, ids binary, copies binary, z binary"), "tiles", "none")
-    beside = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]  # each pair of touching cells once
-    near = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in beside]))
-    left = tiles.select("label", "dim", F.col("g0").alias("a0"), F.col("g1").alias("a1"), F.col("tile").alias("ta"), F.col("ids").alias("ia"), F.col("copies").alias("ca"), F.col("z").alias("za"), near.alias("to"))
-    left = left.withColumn("g0", F.col("a0") + F.col("to.x")).withColumn("g1", F.col("a1") + F.col("to.y"))
-    pairs = left.join(tiles.select(*cell, F.col("tile").alias("tb"), F.col("ids").alias("ib"), F.col("copies").alias("cb"), F.col("z").alias("zb")), cell)
-    pairs = pairs.where("to.x <> 0 or to.y <> 0 or ta <= tb").withColumn("same", F.expr("to.x = 0 and to.y = 0 and ta = tb"))
-
-    def kernel(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                d = row["dim"]
-                ids = [np.frombuffer(row[c], np.int64) for c in ("ia", "ib")]
-                copies = [np.frombuffer(row[c], np.int64) for c in ("ca", "cb")]
-                a, b = (np.frombuffer(row[c], np.float64).reshape(-1, d) for c in ("za", "zb"))
-                i, j = compare(a, b, row["same"], threshold)
-                if not len(i):
-                    continue
-                n = len(a)
-                links = np.concatenate([np.bincount(i, copies[1][j], n), np.bincount(j, copies[0][i], len(b))]).astype(np.int64)
-                root = list(range(n + len(b)))
-                names = np.concatenate(ids).tolist()
-
-                def find(x, root=root):
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
-                for x, y in zip(i.tolist(), (j + n).tolist(), strict=True):
-                    x, y = find(x), find(y)
-                    if x != y:
-                        root[max(x, y, key=names.__getitem__)] = min(x, y, key=names.__getitem__)
-                linked = np.flatnonzero(links).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in linked], pa.int64()), pa.array(links[linked]), pa.array([names[find(x)] for x in linked], pa.int64())], names=["id", "links", "root"])
-
-    partial = written(pairs.select("dim", "same", "ia", "ca", "za", "ib", "cb", "zb").mapInArrow(kernel, "id long, links long, root long"), "links")
+    # Touching cells are found by their sizes alone; BLOCK tiles of either side make a block, which is a task's unit, however crowded a cell is.
+    beside = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])  # each pair of touching cells once
+    blocks = tiles.groupBy(*cell).agg((F.max("tile") / BLOCK).cast("long").alias("blocks"))
+    left = blocks.select("label", "dim", F.col("g0").alias("a0"), F.col("g1").alias("a1"), F.col("blocks").alias("pa"), F.explode(beside).alias("to"))
+    met = left.withColumn("g0", F.col("a0") + F.col("to.x")).withColumn("g1", F.col("a1") + F.col("to.y")).join(blocks, cell)
+    met = met.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), "pa"))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), "blocks")))
+    block = ["label", "dim", "a0", "a1", "g0", "g1", "p", "q"]
+    met = written(met.where("a0 <> g0 or a1 <> g1 or p <= q").select(*block), "blocks")
+    part = (F.col("tile") / BLOCK).cast("long")
+    sides = [met.join(tiles.withColumnsRenamed({"g0": "a0", "g1": "a1"}).withColumn("p", part), ["label", "dim", "a0", "a1", "p"]), again(met).join(again(tiles).withColumn("q", part), [*cell, "q"])]
+
+    def kernel(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        found = [pa.RecordBatch.from_pydict({"id": [], "links": [], "root": []}, LINKS)]
+        if ours.num_rows and theirs.num_rows:
+            head = {c: ours.column(c)[0].as_py() for c in block}
+            one_cell = (head["a0"], head["a1"]) == (head["g0"], head["g1"])
+            read = lambda t: [(r["tile"], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["copies"], np.int64), np.frombuffer(r["z"], np.float64).reshape(-1, head["dim"])) for r in t.select(["tile", "ids", "copies", "z"]).to_pylist()]
+            right = read(theirs)
+            found += [x for a in read(ours) for b in right if not one_cell or a[0] <= b[0] for x in linked_tiles(a, b, one_cell and a[0] == b[0], threshold)]
+        return pa.Table.from_batches(found)
+
+    ours, theirs = (side.select(*block, "tile", "ids", "copies", "z").groupBy(*block) for side in sides)
+    partial = written(ours.cogroup(theirs).applyInArrow(kernel, "id long, links long, root long"), "links")
     counts = partial.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
     roots = connected_components(partial.select(F.col("id").alias("a"), F.col("root").alias("b")))
     out = turned.select("id", *key).join(classes, key).join(counts, "rep", "left").join(roots.select(F.col("id").alias("rep"), F.col("component")), "rep", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, mixed, written
@@ -133,6 +133,23 @@ def may_link(a: str, b: str, percent: int) -> str:
     return f"{sizes} and {estimate(a, b)} >= {percent / 100 - MARGIN} and {100 + percent} * {differ} <= {100 - percent} * ({a}.n + {b}.n)"
 
 
+#: Parts into which the rows of one key are dealt where they meet their group.
+SALTS = 64
+
+
+def grouped(rows: DataFrame, key: str, ident: str, name: str, how: str) -> DataFrame:
+    """Rows with the smallest ident of their key as name, if the key has two rows or more; others have none (left) or are left out (inner).
+
+    A key's rows are dealt to SALTS parts, counted by part and then by key, and
+    each part is joined by itself, so that no key is one task's.
+    """
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(ident), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy(key, "_part").agg(F.count("*").alias("_c"), F.min(ident).alias("_m"))
+    whole = Window.partitionBy(key)
+    groups = parts.select(key, "_part", F.sum("_c").over(whole).alias("_c"), F.min("_m").over(whole).alias(name)).where("_c > 1").drop("_c")
+    return dealt.join(groups, [key, "_part"], how).drop("_part")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with the near-duplicate group that they are in.
 
@@ -160,14 +177,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     each row is returned.  Other columns aren't read.  An empty table gives none.
     """
     found = written(sketches(docs, id_col, text_col), "sketches")
-    first = found.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("class_id"))
-    classed = written(found.join(first, "set_hash", "left").withColumn("keys", F.expr("if(doc_id = class_id, keys, null)")).drop("set_hash"), "classes")
+    linkable = found.where("set_hash is not null and doc_id is not null")
+    same = grouped(linkable, "set_hash", "doc_id", "class_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    none = found.where("set_hash is null or doc_id is null").withColumn("class_id", F.lit(None).cast("long"))
+    classed = written(same.unionByName(none).withColumn("keys", F.expr("if(doc_id = class_id, keys, null)")).drop("set_hash"), "classes")
     reps = classed.where("doc_id = class_id").dropDuplicates(["doc_id"])
     signed = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "counts", *SIGNATURE)
 
     rows = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("center")).where("c > 1").drop("c")
-    buckets = written(rows.join(shared, "key"), "buckets")
+    buckets = written(grouped(rows, "key", "id", "center", "inner"), "buckets")
     members = buckets.select("id").distinct()
     sets = written(shingle_arrays(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(members, "id", "left_semi")).dropDuplicates(["id"]), "sets")
 
