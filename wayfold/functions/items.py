@@ -75,7 +75,7 @@ def entity_keys(title: Column, metadata: Column, most: int = 40) -> Column:
 
 
 def location_key(lat: Column, lon: Column) -> Column:
-    """A place to a tenth of a degree; empty where unknown."""
+    """A place to a tenth of a degree, zero without a sign; empty where unknown."""
     return F.when(lat.isNotNull() & lon.isNotNull(), F.format_string("%.1f,%.1f", F.bround(lat, 1), F.bround(lon, 1))).otherwise("")
 
 

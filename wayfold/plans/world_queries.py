@@ -294,13 +294,13 @@ GENERIC = ", ".join(f"'{w}'" for w in sorted({*items.GENERIC, *items.FEATURE_STO
 
 
 @query(rf"""
-with p as (select doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '\b(?:[A-Z][A-Za-z0-9.''-]+(?:\s+|$)){{1,4}}'), lambda x: regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')), lambda k: length(k) > 2 and k not in ({GENERIC}) and len(list_filter(string_split(k, '-'), lambda w: w not in ({GENERIC}))) > 0)) as keys,
+with p as (select doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'x', 'g'), '\b(?:[A-Z][A-Za-z0-9.''-]+(?:\s+|$)){{1,4}}'), lambda x: regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')), lambda k: length(k) > 2 and k not in ({GENERIC}) and len(list_filter(string_split(k, '-'), lambda w: w not in ({GENERIC}))) > 0)) as keys,
  list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{{3,}}'), lambda w: w not in ({", ".join(f"'{w}'" for w in items.FEATURE_STOP)}))) as tokens from documents)
 select doc_id, len(keys) as names, array_to_string(list_sort(keys)[1:3], ' ') as first_names, len(tokens) as tokens, sha256(array_to_string(list_sort(tokens), ' ')) as title_key from p""")
 def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names and tokens of texts: how many, the first three names, a key of all tokens."""
+    """Names and tokens of texts: how many, the first three names, a key of all tokens.  For names, letters outside ASCII count as x: engines differ on where words end beside them."""
     t = F.col("text")
-    rows = table(spark, sf_dir, "documents").select("doc_id", items.named_phrases(t).alias("keys"), items.feature_tokens(t).alias("tokens"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", items.named_phrases(F.regexp_replace(t, r"[^\x00-\x7F]", "x")).alias("keys"), items.feature_tokens(t).alias("tokens"))
     return rows.select("doc_id", F.size("keys").cast("long").alias("names"), F.array_join(F.slice(F.sort_array("keys"), 1, 3), " ").alias("first_names"), F.size("tokens").cast("long").alias("tokens"), F.sha2(F.array_join(F.sort_array("tokens"), " "), 256).alias("title_key"))
 
 
