@@ -17,17 +17,16 @@ CLOSED_WORLD, REVISED = ["cyber.known_exploited", "event.active_alert"], ["seism
 def prose_claims(docs: DataFrame, text: str, ident: str) -> DataFrame:
     """Claims of texts: ident, predicate, claim_type, speaker, statement, confidence.
 
-    Attributed statements first (a capitalised speaker, a verb, three to 400
-    characters); other sentences are causal, predictive or interpretive by the
+    Attributed statements first (up to 71 characters of letters, digits and some
+    signs as the speaker, a verb, three to 400 characters); other sentences are causal, predictive or interpretive by the
     first marker that they have.  A sentence that holds an attributed statement
     gives no claim of its own.
     """
-    said = rf"([A-Z][A-Za-z0-9 .&'’_-]{{1,70}}?)\s+(?i:{'|'.join(VERBS)})\s+(?:that\s+)?([^.!?\n]{{3,400}})"
+    said = rf"(?i)\b([A-Z][A-Za-z0-9 .&'’_-]{{1,70}}?)\s+({'|'.join(VERBS)})\s+(?:that\s+)?([^.!?\n]{{3,400}})"
     body = F.coalesce(F.col(text), F.lit(""))
-    speakers, statements = (F.regexp_extract_all(body, F.lit(r"\b" + said), F.lit(k)) for k in (1, 2))
-    verbs = F.regexp_extract_all(body, F.lit(r"\b" + said.replace("(?i:", "(?i:(").replace(")\\s+(?:that", "))\\s+(?:that")), F.lit(2))
+    speakers, verbs, statements = (F.regexp_extract_all(body, F.lit(said), F.lit(k)) for k in (1, 2, 3))
     attributed = F.transform(F.arrays_zip(speakers.alias("s"), verbs.alias("v"), statements.alias("t")), lambda x: F.struct(F.lit("statement.attributed").alias("predicate"), F.when(F.lower(x["v"]) == "denied", "denied_assertion").otherwise("attributed_assertion").alias("claim_type"), F.trim(x["s"]).alias("speaker"), F.trim(x["t"]).alias("statement"), F.lit(0.82).alias("confidence")))
-    sentences = F.filter(F.transform(F.regexp_extract_all(body, F.lit(r"[^.!?\n]+(?:[.!?]|\z)"), F.lit(0)), F.trim), lambda s: F.length(s).between(12, 500))
+    sentences = F.filter(F.transform(F.regexp_extract_all(body, F.lit(r"[^.!?\n]+(?:[.!?]|\z)"), F.lit(0)), lambda s: F.trim(s)), lambda s: F.length(s).between(12, 500))
     rows = docs.select(ident, attributed.alias("_a"), sentences.alias("_s"))
     free = F.filter("_s", lambda s: ~F.exists("_a", lambda a: F.contains(s, a["statement"])))
     kinds = [("event.causal_explanation", "causal_claim", CAUSAL, 0.48), ("event.prediction", "prediction", PREDICTIVE, 0.45), ("event.interpretation", "interpretation", INTERPRETIVE, 0.42)]

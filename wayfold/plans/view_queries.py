@@ -12,14 +12,15 @@ from .registry import query, table
 from .world_queries import CLAIMS, NOW, REPORTS, claims, evidence, reports
 
 
-@query(rf"""
-with d as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+(?:[.!?]|\z)')) as s from documents), t as (select doc_id, trim(s, ' ') as s from d where length(trim(s, ' ')) between 12 and 500)
-select doc_id, case when regexp_matches(lower(s), '\b(?:{judgement.CAUSAL})\b') then 'causal_claim' when regexp_matches(lower(s), '\b(?:{judgement.PREDICTIVE})\b') then 'prediction' when regexp_matches(lower(s), '\b(?:{judgement.INTERPRETIVE})\b') then 'interpretation' end as claim_type, count(*) as n, sum(length(s))::bigint as chars from t
-where regexp_matches(lower(s), '\b(?:{judgement.CAUSAL}|{judgement.PREDICTIVE}|{judgement.INTERPRETIVE})\b') group by all""")
-def prose_claim_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences that explain, predict or interpret; the texts attribute nothing to anyone."""
-    found = judgement.prose_claims(table(spark, sf_dir, "documents"), "text", "doc_id").where("speaker is null")
-    return found.groupBy("doc_id", "claim_type").agg(F.count("*").alias("n"), F.sum(F.length("statement")).alias("chars"))
+@query("""
+select p_partkey, 'statement.attributed' as predicate, 'Maker ' || p_partkey as speaker, p_name || ' is fine' as statement from part union all
+select p_partkey, case p_partkey % 3 when 0 then 'event.causal_explanation' else 'event.prediction' end, null, case p_partkey % 3 when 0 then 'Prices fell because of ' else 'Prices could reach ' end || p_name || '.' from part where p_partkey % 3 < 2""")
+def prose_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of made-up sentences about parts; the tables' own texts are invented words that claim nothing."""
+    middle = F.get(F.array(*map(F.lit, ("fell because of ", "could reach ", "stay near "))), F.col("p_partkey") % 3)
+    text = F.concat(F.lit("Maker "), "p_partkey", F.lit(" said that "), "p_name", F.lit(" is fine. Prices "), middle, "p_name", F.lit("."))
+    found = judgement.prose_claims(table(spark, sf_dir, "part").select("p_partkey", text.alias("t")), "t", "p_partkey")
+    return found.select("p_partkey", "predicate", "speaker", "statement")
 
 
 @query(f"""

@@ -252,7 +252,7 @@ def conflict_events(landed: DataFrame) -> DataFrame:
     at = lambda c, most: bounded(F.col(f"r.{c}").try_cast("double"), most)
     where = F.coalesce(first("r.location", "r.admin1", "r.country"), F.lit("an unnamed place"))
     title = F.concat(F.coalesce(first("r.sub_event_type", "r.event_type"), F.lit("Conflict")), F.lit(" in "), where)
-    sources = F.filter(F.transform(F.split(F.coalesce("r.source", F.lit("")), ";"), F.trim), lambda x: x != "")
+    sources = F.filter(F.transform(F.split(F.coalesce("r.source", F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
     return item(rows, "acled", external_id=text("r.event_id_cnty"), title=title, url=F.concat(F.lit("conflict:"), text("r.event_id_cnty")), summary=F.coalesce(text("r.notes"), F.lit("")), published_at=F.concat(text("r.event_date"), F.lit("T00:00:00Z")), category=F.lit("conflict"), latitude=at("latitude", 90), longitude=at("longitude", 180), metadata=meta(event_type=F.col("r.event_type"), sub_event_type=F.col("r.sub_event_type"), actors=F.array_compact(F.array(text("r.actor1"), text("r.actor2"))), fatalities=F.col("r.fatalities").try_cast("int"), country=F.col("r.country"), reporting_sources=sources))
 
 
