@@ -155,7 +155,7 @@ def descend(column: np.ndarray, of: np.ndarray, y: np.ndarray, start: np.ndarray
     n, m = len(y), len(start)
     v, bend = np.ones(m) / max(1, m) ** 0.5, 1.0
     for _ in range(20):  # the matrix's largest singular value squared bounds the loss's bend
-        v = np.bincount(column, np.bincount(of, v[column], n)[of], m)
+        v = np.bincount(column, np.bincount(of, v[column], n)[of], m).astype(float)  # whole numbers where no feature speaks
         bend = float(np.sqrt((v * v).sum())) or 1.0
         v /= bend
     rate = 1 / (1.05 * bend / (4 * n) + 0.25 + HOLD / n)
