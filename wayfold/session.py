@@ -24,9 +24,18 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
     return spark
 
 
+#: Rows of an Arrow batch, where the session doesn't say otherwise: rows hold whole texts, and a batch is in memory several times.
+BATCH_ROWS = "2000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each SparkContext; their own path need not have it."""
-    sc = spark.sparkContext
+    """Send this package to the Python workers, once for each SparkContext; their own path need not have it.
+
+    A session that leaves the number of rows of an Arrow batch at Spark's default gets BATCH_ROWS.
+    """
+    sc, key = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
     if getattr(sc, "_wayfold_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="wayfold-code-")
