@@ -230,7 +230,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     hit = memo.get(w)
                     if hit is None:
                         hit = max((weights.get(b, 0.0) for b in features_of(w)))
-                        if len(memo) < 300_000:
+                        if len(memo) < 150_000:
                             memo[w] = hit
                     if hit:
                         hits.append(hit)
