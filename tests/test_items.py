@@ -19,7 +19,7 @@ def row(spark, **columns):
 def test_names_and_titles(spark):
     r = row(
         spark, title=items.normal_title(S("Breaking: the Flood hits the town, flood!")), none=items.normal_title(S(None)), tokens=items.report_tokens(S("they said that Rivers over banks will rise")),
-        phrases=items.named_phrases(S("Storm over New York City and Weather in U.S. Statement")), keys=items.entity_keys(S("Fire in Big Bear"), S('{"country": "France", "places": ["Big Bear", "x", null], "actor": ""}')), empty=items.entity_keys(S(None), S(None)))
+        phrases=items.named_phrases(S("Storm over New York City and Weather in U.S. Statement")), keys=items.item_names(S("Fire in Big Bear"), S('{"country": "France", "places": ["Big Bear", "x", null], "actor": ""}')), empty=items.item_names(S(None), S(None)))
     assert r.title == "flood hits town" and r.none == "" and r.tokens == ["rivers", "banks", "rise"]
     assert r.phrases == ["new-york-city", "u-s-statement"] and r.empty == []
     assert r["keys"] == ["big-bear", "fire", "france"]

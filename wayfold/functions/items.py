@@ -69,7 +69,7 @@ def metadata_names(metadata: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(every, name_key), lambda k: k != ""))
 
 
-def entity_keys(title: Column, metadata: Column, most: int = 40) -> Column:
+def item_names(title: Column, metadata: Column, most: int = 40) -> Column:
     """Sorted keys of all names in title and metadata, so many at most."""
     return F.slice(F.sort_array(F.array_union(metadata_names(metadata), named_phrases(title))), 1, most)
 
