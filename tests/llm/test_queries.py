@@ -128,6 +128,12 @@ def test_near_duplicates(spark, tables):
     assert links and got == {i: (len(sets[i]), c, c == i) for i, c in grouped(sets, links).items()}
 
 
+def test_token_counts(spark, tables):
+    rows = dict(tables.sql("select doc_id, coalesce(text, '') from documents").fetchall())
+    expected = {i: (len(rows[i].encode()), len(ids), len(ids) > 512) for i, ids in encoded(tables, queries.BYTE_BPE).items()}
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in ran(spark, "op11_token_counts").collect()} == expected
+
+
 def test_bpe(spark, tables):
     own, expected = library(queries.BYTE_BPE), {}
     for i, ids in encoded(tables, queries.BYTE_BPE).items():

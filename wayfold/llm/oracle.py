@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 SQL: dict[str, str] = {}
 
 
@@ -60,5 +62,55 @@ from captures left join found using (page_id) group by page_id
 """
 
 
+def audit_sql() -> str:
+    """Every step of every order counted by itself from the documents' failures, without the lattice."""
+    chosen = " and ".join(f"{a}.l <> {b}.l" for a, b in combinations("pqrst", 2))
+    return f"""
+with texts as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+failed as (select doc_id, part,
+  (len(w) < 100)::int + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::int + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::int
+  + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as mask from texts),
+said as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+counted as (select part, mask, coalesce(good, false) as good, coalesce(toxic, false) as toxic, count(*) as n from failed left join said using (doc_id) group by all),
+filters(l) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+orders as (select p.l || q.l || r.l || s.l || t.l as o from filters p, filters q, filters r, filters s, filters t where {chosen}),
+steps as (select o as filter_order, k::int as step, o[k] as letter, 1 << (ascii(o[k]) - 65) as now, coalesce(list_sum(list_transform(range(1, k), lambda i: 1 << (ascii(o[i]) - 65))), 0)::int as before from orders, range(1, 6) as r(k)),
+walked as (select part, filter_order, step, letter,
+  coalesce(sum(n) filter (mask & (before | now) = 0), 0)::bigint as kept, coalesce(sum(n) filter (mask & before = 0 and mask & now <> 0), 0)::bigint as removed,
+  coalesce(sum(n) filter (mask & before <> 0 and mask & now <> 0), 0)::bigint as redundant, coalesce(sum(n) filter (mask = now), 0)::bigint as unique_fails,
+  coalesce(sum(n) filter (good and mask & before = 0 and mask & now <> 0), 0)::bigint as good_lost, coalesce(sum(n) filter (toxic and mask & before = 0 and mask & now <> 0), 0)::bigint as toxic_lost
+  from counted, steps group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, letter))::bigint as shapley from walked
+"""
+
+
+def codes_sql() -> str:
+    """Lloyd's rounds over all rows and entries, one statement for each round."""
+    from . import vector_codes as v
+
+    def assigned(i: int) -> str:
+        far = "list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i])))"
+        return f"a{i} as materialized (select n, p, arg_min(struct_pack(e := e, far := far), (far, e)) as best from (select n, p, e, {far}::bigint as far from parts a join c{i} b using (p)) group by n, p)"
+
+    steps = [assigned(0)]
+    for i in range(v.ROUNDS):
+        mean = "(s - ((s % m) + m) % m) / m"
+        steps.append(f"""c{i + 1} as materialized (select p, e, coalesce(y, x) as x from c{i} left join (select p, e, list(({mean})::bigint order by k) as y
+  from (select p, best.e as e, k, sum(x[k])::hugeint as s, count(*)::hugeint as m from (select p, best, x, unnest(range(1, len(x) + 1)) as k from a{i} join parts using (n, p)) group by all) group by p, e) using (p, e))""".replace("/ m", "// m"))
+        steps.append(assigned(i + 1))
+    books = f"select sha256(string_agg(t, ',' order by p, e)) as codebooks_sha256 from (select p, e, array_to_string(x, ',') as t from c{v.ROUNDS})"
+    return f"""
+with kept as (select row_number() over (order by vec_id) as n, vec_id, label, list_transform(embedding, lambda x: floor({v.SCALE} * x::double)::bigint) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (select n, p, x[p * len(x) // {v.PARTS} + 1 : (p + 1) * len(x) // {v.PARTS}] as x from kept, range({v.PARTS}) as r(p)),
+c0 as (select p, n - 1 as e, x from parts where n <= {v.ENTRIES}),
+{", ".join(steps)},
+codes as (select n, string_agg(printf('%02x', best.e), '' order by p) as code, sum(best.far)::bigint as error from a{v.ROUNDS} group by n)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from kept join codes using (n), ({books})
+"""
+
+
+SQL["op12_filter_audit"] = audit_sql()
+SQL["op13_vector_codes"] = codes_sql()
 SQL["op6_url_lists"] = url_sql()
 SQL["op5_quality_votes"] = quality_sql()

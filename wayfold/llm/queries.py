@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, embed_dedup, html_text, minhash, packing, pii, quality, token_store, toxicity, url_filter
+from . import bpe, embed_dedup, filter_audit, html_text, minhash, packing, pii, quality, token_counts, token_store, toxicity, url_filter, vector_codes
 from .common import new_path, table
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -81,7 +81,19 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_ffd, op2_token_store, op3_pii_bootstrap, op4_embedding_tiles, op5_quality_votes, op6_url_lists, op7_toxicity, op8_minhash_bbit, op9_bpe_trie, op10_html_text)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), BYTE_BPE, limit=512)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack_ffd, op2_token_store, op3_pii_bootstrap, op4_embedding_tiles, op5_quality_votes, op6_url_lists, op7_toxicity, op8_minhash_bbit, op9_bpe_trie, op10_html_text, op11_token_counts, op12_filter_audit, op13_vector_codes)}
 
 
 def queries() -> dict:
