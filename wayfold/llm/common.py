@@ -79,6 +79,39 @@ def spread(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# ---------------------------------------------------------- batches of texts
+
+#: Bytes of text that a worker holds as Python strings at once, unless one text is longer.
+SLICE = 2_000_000
+
+
+def by_bytes(batches, sizes, most: int = SLICE):
+    """Arrow batches cut into slices of at most so many bytes, a row at least; sizes gives the bytes of a batch's rows.
+
+    A worker keeps what it frees for its own next use; at the end of a
+    partition it goes back to the machine, as an idle worker has no use for it.
+    """
+    import pyarrow as pa
+
+    for batch in batches:
+        ends, at = np.cumsum(sizes(batch)), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+    pa.default_memory_pool().release_unused()
+
+
+def text_sizes(column: int):
+    """sizes for by_bytes: the bytes of a column of texts; null has none."""
+    import pyarrow.compute as pc
+
+    def sizes(batch) -> np.ndarray:
+        return np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+
+    return sizes
+
+
 # ---------------------------------------------------------------- components
 
 

@@ -19,12 +19,13 @@ from bisect import bisect_left
 from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import by_bytes, text_sizes, written
 
 # The kinds in order, and the forms that must be found.
 KINDS = ["email", "ip", "card", "phone"]
@@ -182,7 +183,7 @@ def scan(docs: DataFrame, text_col: str, carried: list[str]) -> DataFrame:
         span = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
         occurrence = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string())), ("seed", pa.bool_()), ("fit", pa.bool_())])
         names = [("kind", "start", "end"), ("kind", "start", "end", "instance", "patterns", "seed", "fit")]
-        for batch in batches:
+        for batch in by_bytes(batches, text_sizes(1)):
             both = [occurrences(t) for t in batch.column(1).to_pylist()]
             spans, found = ([[dict(zip(n, x, strict=True)) for x in b[k]] for b in both] for k, n in enumerate(names))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(range(number, number + batch.num_rows), pa.int64()), pa.array(spans, pa.list_(span)), pa.array(found, pa.list_(occurrence))], names=["_row", "_n", "base", "found"])
@@ -243,7 +244,10 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found, kinds = find(docs, text_col), KINDS
 
     def run(batches):
-        for batch in batches:
+        def sizes(batch):
+            return pc.fill_null(pc.binary_length(batch.column(0).field(text_col)), 0)
+
+        for batch in by_bytes(batches, sizes):
             rows, spans = batch.column(0), batch.column(1).to_pylist()
             place = rows.type.get_field_index(text_col)
             texts = rows.field(place).to_pylist()

@@ -117,7 +117,7 @@ def judge(docs: DataFrame, text_col: str = "text", keep_columns: list[str] | Non
     counted = written(counted, "quality")
     model = fit([(r["votes"], r["count"]) for r in counted.groupBy("votes").count().collect()])
     rows = sorted(model["posterior"].items()) or [(0, 0.0)]
-    verdict = counted.sparkSession.createDataFrame(rows, "votes long, posterior double")
+    verdict = counted.sparkSession.sql("select * from values " + ", ".join(f"({v}L, {p!r}D)" for v, p in rows) + " as t(votes, posterior)")
     found = counted.join(F.broadcast(verdict), "votes")  # 3 ** len(RULES) rows at most
     found = found.withColumn("base_failed", F.expr(BASE_FAILED))
     return found.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))

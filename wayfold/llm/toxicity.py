@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import by_bytes, text_sizes, written
 
 #: Labelled documents that the model is fitted on, at most, and buckets of features.
 FIT_DOCS, BUCKETS = 6000, 1 << 20
@@ -192,7 +192,7 @@ def fit_on(docs: DataFrame, grades: DataFrame, limit: int = FIT_DOCS, id_col: st
 
     def run(batches):
         memo: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in by_bytes(batches, text_sizes(1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([features(t or "", memo).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["i", "grade", "f"])
 
     return fit(written(joined.mapInArrow(run, "i long, grade int, f binary"), "features"))
@@ -222,7 +222,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches):
         memo, weights = _weights(packed)
         graded = Model({}, cuts)
-        for batch in batches:
+        for batch in by_bytes(batches, text_sizes(1)):
             out = []
             for t in batch.column(1).to_pylist():
                 hits = []

@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 #: A generation of remembered pieces; two are kept.  Longer pieces aren't remembered.
-GENERATION, LONGEST = 200_000, 64
+GENERATION, LONGEST = 150_000, 64
 #: Bytes of text that are encoded together.
-CHUNK = 8_000_000
+CHUNK = 2_000_000
 
 #: Kinds of bytes: unknown, letter, sign, digit, white space, and the bar, which special tokens have after a letter.
 OTHER, LETTER, SIGN, DIGIT, SPACE, BAR = range(6)
