@@ -1,10 +1,14 @@
 """Places named in texts, families of reports, ordered events: against loops in Python."""
 
+import os
 import random
 import re
+from collections import Counter
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
-from wayfold.operators import families, gazetteer
+from wayfold.operators import assignment, families, fusion, gazetteer
+from wayfold.plans import graph_queries
 
 PLACES = [(1, "Port Aldo", "AA", 10.0, 10.0), (1, "Aldo", "AA", 10.0, 10.0), (2, "Aldo Airport", "AA", 10.1, 10.1), (3, "Berrin", "BB", 50.0, 5.0), (4, "Reading", "BB", 51.0, 5.0), (5, "Nowhere Town", None, None, None), (6, "Xy", "BB", 1.0, 1.0), (7, "Berrin Naval Base", "BB", 70.0, 5.0)]
 COUNTRIES = [("AA", "Aland"), ("BB", "Bor Land"), ("CC", "Coy")]
@@ -142,3 +146,86 @@ def test_one_text_in_most_reports(spark):
     links = families.relationships(docs)
     assert links.count() == 1999
     assert {(r.root, r.members, r.family) for r in families.families(docs, links).where("id % 3 > 0").collect()} == {(1, 2000, "report:same")}
+
+
+# ------------------------------------------------------------------- assignment
+
+
+def loop(items, pairs, link=0.82, review=0.65):
+    """All reports in one list, one after another; every event keeps its reports."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    state, where, out = {}, {}, {}
+    for x in sorted(items, key=lambda x: (x["at"], x["id"])):
+        x = dict(x, tokens=set(x["tokens"]), entities=set(x["entities"]))
+        options = []
+        if x["revises"] in where:
+            options = [(1.0, where[x["revises"]], [])]
+        else:
+            for e in state:
+                if any(where.get(i) == e for i in near.get(x["id"], ())):
+                    options.append((*(r := assignment.rating(x, state[e]))[:1], e, r[1]))
+        options = [(s, e, v + (["barred"] if e in x["barred"] else [])) for s, e, v in options if e != x["current"]]
+        best = min(((-s, e) for s, e, v in options if not v), default=(0.0, None))
+        score = -best[0]
+        if best[1] is not None and score >= link:
+            outcome, event, stay = "link", best[1], best[1]
+        elif best[1] is not None and score >= review:
+            outcome, event, stay = "review", best[1], x["current"]
+        elif x["current"] is not None:
+            outcome, event, stay = "retain", x["current"], x["current"]
+        else:
+            outcome, event, stay = "create", x["id"], x["id"]
+        gone = x["revises"] if outcome == "link" and x["revises"] in where else None
+        if stay is not None:
+            where[x["id"]] = stay
+            if stay in state:
+                assignment.absorbed(state[stay], x)
+            else:
+                state[stay] = assignment.opened(stay, x)
+        if gone is not None:
+            where.pop(gone)
+        out[x["id"]] = (event, outcome, score, len(options), sum(bool(v) for _, _, v in options), gone)
+    return out
+
+
+def test_event_assignments_equal_one_loop(spark):
+    path = os.environ.get("WAYFOLD_DATA", "/root/testdata") + "/sf0.001"
+    items = graph_queries.observations(spark, path)
+    pairs = [(r.a, r.b) for r in graph_queries.near_observations(items).collect()]
+    rows = [r.asDict() for r in items.collect()]
+    got = {r.id: tuple(r)[1:] for r in graph_queries.event_assignments(spark, path).collect()}
+    expected = loop(rows, pairs)
+    assert got == expected
+    assert Counter(x[1] for x in got.values()).keys() == {"link", "review", "retain", "create"} and any(x[5] for x in got.values())
+
+
+def test_ratings_are_the_columns(spark):
+    """The score for single reports is the one that fusion has for columns."""
+    path = os.environ.get("WAYFOLD_DATA", "/root/testdata") + "/sf0.001"
+    items = graph_queries.observations(spark, path).where("id < 1200").withColumn("at", F.col("at").cast("timestamp"))
+    keep = ["id", "at", "tokens", "entities", "lat", "lon", "family", "category", "identifiers"]
+    b = items.select(*keep[:-1], F.transform_values("identifiers", lambda k, v: F.array(v)).alias("identifiers"))
+    pairs = items.select((F.col("id") % 40).alias("g"), F.struct(*keep).alias("a")).join(b.select((F.col("id") % 40).alias("g"), F.struct("*").alias("b")), "g")
+    got = {(r.a.id, r.b.id): (r.score, sorted(r.vetoes)) for r in fusion.event_score(pairs, "at").collect()}
+    rows = {r.id: r.asDict() | {"tokens": set(r.tokens), "entities": set(r.entities)} for r in items.collect()}
+    for (x, y), (score, vetoes) in got.items():
+        s, v = assignment.rating(rows[x], assignment.opened(y, rows[y]))
+        assert abs(s - score) < 1.1e-4 and sorted(v) == vetoes
+    assert len(got) > 1000
+
+
+def test_one_block_makes_many_units(spark):
+    """Two hundred far chains of one block are units of their own, and give what the loop gives; revisions, repeats and nulls."""
+    at = datetime(2024, 1, 1)
+    base = {"title": "t", "tokens": ["a"], "entities": ["n"], "lat": 1.0, "lon": 1.0, "family": "news", "category": "news", "identifiers": {}, "revises": None, "current": None, "barred": []}
+    items = [base | {"id": 10 * c + i, "at": at + timedelta(days=30 * c, hours=i)} for c in range(200) for i in range(3)]
+    items += [base | {"id": 5, "at": at + timedelta(days=1), "revises": 1}, base | {"id": 6, "at": at + timedelta(days=2), "revises": 999, "tokens": []}]
+    pairs = [(10 * c + i, 10 * c + i + 1) for c in range(200) for i in range(2)]
+    kinds = "id long, at timestamp, title string, tokens array<string>, entities array<string>, lat double, lon double, family string, category string, identifiers map<string,string>, revises long, current long, barred array<long>"
+    rows = [tuple(x[c] for c in assignment.COLUMNS) for x in items]
+    near = spark.createDataFrame([*pairs, (1, 0), (3, 3), (None, 4), (4, 12345)], "a long, b long")
+    got = {r.id: tuple(r)[1:] for r in assignment.assign(spark.createDataFrame(rows + [(None, *rows[0][1:])], kinds), near).collect()}
+    assert got == loop(items, pairs) and got[5] == (0, "link", 1.0, 1, 0, 1) and got[6][1] == "create"
+    assert assignment.assign(spark.createDataFrame([], kinds), near).count() == 0
