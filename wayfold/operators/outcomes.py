@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.items import report_tokens
 from ..functions.measures import overlap
+from .families import met
 from .fusion import SINGLE_VALUED
 
 
@@ -15,7 +16,9 @@ def relations(claims: DataFrame, situation: str, ident: str, predicate: str, val
 
     single (boolean) in claims says which predicates those are.  Claims with one
     value are joined in a star around the smallest ident, so copies cost no
-    square: supports stand between the smallest and each other.
+    square: supports stand between the smallest and each other, contradictions
+    between the smallest of two values.  opposition() says for every claim whose
+    group that is.
     """
     key = [situation, predicate]
     first = F.min(ident).over(Window.partitionBy(*key, value))
@@ -27,6 +30,28 @@ def relations(claims: DataFrame, situation: str, ident: str, predicate: str, val
     return supports.union(against.select(situation, F.col(ident).alias("left_id"), F.col("_r").alias("right_id"), F.lit("contradicts").alias("relationship"), F.lit(0.85).alias("confidence")))
 
 
+def opposition(claims: DataFrame, situation: str, ident: str, predicate: str, value: str) -> DataFrame:
+    """Every claim with the group that stands for it in relations() and with what contradicts it: ident, first_id, equal, contrary, contrary_id.
+
+    first_id is the smallest ident of the claims with its value, equal their
+    number; contrary counts the claims of other values where one value holds at
+    a time (single), and contrary_id is the smallest of those.  Each value is
+    one row before values of a predicate meet; a value's claims are dealt to
+    parts.  A null situation, predicate or value is its own group with nobody.
+    """
+    key = [situation, predicate]
+    values = claims.groupBy(*key, value).agg(F.min(ident).alias("first_id"), F.count("*").alias("equal"), F.max("single").alias("_one"))
+    group = Window.partitionBy(*key)
+    values = values.withColumns({"_all": F.sum("equal").over(group), "_low": F.min(F.struct("first_id", value)).over(group)})
+    values = values.withColumn("_next", F.min(F.when(F.col(value) != F.col(f"_low.{value}"), F.col("first_id"))).over(group))
+    contrary = F.when(F.col("_one"), F.col("_all") - F.col("equal")).otherwise(F.lit(0).cast("long"))
+    other = F.when(F.col("_one"), F.when(F.col(value) == F.col(f"_low.{value}"), F.col("_next")).otherwise(F.col("_low.first_id")))
+    values = values.select(*key, value, "first_id", "equal", contrary.alias("contrary"), other.alias("contrary_id"))
+    found = met(claims.select(ident, *key, value), [*key, value], values, ident)
+    alone = F.col("first_id").isNull()
+    return found.select(ident, F.coalesce("first_id", ident).alias("first_id"), F.when(alone, 1).otherwise(F.col("equal")).cast("long").alias("equal"), F.coalesce("contrary", F.lit(0)).cast("long").alias("contrary"), "contrary_id")
+
+
 def both_ways(pairs: DataFrame, left: str = "left_id", right: str = "right_id") -> DataFrame:
     """Undirected links as id and other, each in both directions."""
     return pairs.select(F.col(left).alias("id"), F.col(right).alias("other")).union(pairs.select(F.col(right).alias("id"), F.col(left).alias("other")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import items
 from ..functions.measures import haversine_km
-from ..operators import fusion, outcomes, situations
+from ..operators import fusion, outcomes, situations, snapshots
 from .place_queries import KM, LAT, LON, located
 from .registry import query, table
 
@@ -71,6 +71,30 @@ def claim_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("situation", "relationship").agg(F.count("*").alias("pairs"), F.sum(F.col("right_id") - F.col("left_id")).alias("span"))
 
 
+@query(f"""
+with {REPORTS}, {CLAIMS}, e as (select situation, predicate, value, doc * 8 + line as id, predicate <> 'y0' as single from evidence),
+v as (select situation, predicate, value, min(id) as first_id, count(*) as equal from e group by all),
+o as (select a.situation, a.predicate, a.value, coalesce(sum(b.equal), 0)::bigint as contrary, min(b.first_id) as contrary_id from v a left join v b on a.situation = b.situation and a.predicate = b.predicate and a.value <> b.value group by all)
+select e.id, first_id, equal, case when single then contrary else 0 end as contrary, case when single then contrary_id end as contrary_id from e join v using (situation, predicate, value) join o using (situation, predicate, value)""")
+def claim_opposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every claim the one that stands for its value, and what contradicts it; row by row."""
+    rows = evidence(spark, sf_dir).select("situation", "predicate", "value", (F.col("doc") * 8 + F.col("line")).alias("id"), (F.col("predicate") != "y0").alias("single"))
+    return outcomes.opposition(rows, "situation", "id", "predicate", "value")
+
+
+@query(f"""
+with {REPORTS}, {CLAIMS}, c as (select unnest(generate_series(date_trunc('month', min(at_)), max(at_) + interval 1 month, interval 3 month)) as cutoff from reports),
+s as (select distinct situation from reports), d as (select s.situation, cutoff, (select count(distinct doc) from reports r where r.situation = s.situation and r.at_ <= cutoff) as documents, (select count(distinct family) from reports r where r.situation = s.situation and r.at_ <= cutoff) as families,
+ (select count(*) from reports r where r.situation = s.situation and r.at_ <= cutoff and credibility >= 0.7) as credible, (select count(*) from reports r where r.situation = s.situation and r.at_ <= cutoff and status = 'deleted') as deleted from s, c)
+select *, sha256('credible=' || credible || ',deleted=' || deleted || ',documents=' || documents || ',families=' || families) as snapshot_hash from d""")
+def situation_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was known of every situation at the start of every third month, in one pass."""
+    rows = reports(spark, sf_dir)
+    span = rows.agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    quarters = span.select(F.explode(F.expr("sequence(cast(date_trunc('MONTH', a) as timestamp_ntz), b + interval 1 month, interval 3 month)")).alias("cutoff"))
+    return snapshots.at_cutoffs(rows, "situation", "at", quarters, {"documents": "doc", "families": "family"}, {"credible": F.col("credibility") >= 0.7, "deleted": F.col("status") == "deleted"})
+
+
 MATCHES = """keys as (select doc, list_distinct(list(predicate || value)) as claims, list_distinct(list('w' || (line % 5) || value)) as tokens from evidence group by doc),
 full_ as (select r.*, coalesce(claims, []) as claims, coalesce(tokens, []) as tokens from reports r left join keys using (doc)),
 matches as (select a.doc, a.publisher, a.at_, b.doc as other, b.publisher as other_publisher, b.at_ as other_at, b.credibility from full_ a join full_ b on a.situation = b.situation and a.doc <> b.doc and a.publisher <> b.publisher and b.at_ > a.at_ and b.status = 'active' and b.credibility >= 0.6
