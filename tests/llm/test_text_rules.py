@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -290,3 +291,11 @@ def test_severity_orders_documents_of_one_quality(spark):
 def test_quality_of_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "same words in a text " * 3)] * 3 + [(2, None)] * 2, "doc_id long, text string")
     assert [r.kept for r in quality.judge(docs).collect()] == [False] * 5
+
+
+def test_broken_pages_take_time_in_proportion():
+    """Quotes that never close in step, and list items below many open elements, at a megabyte each."""
+    for page in ('<a "' + '><b" "' * 170_000 + ">", "<div>" * 80_000 + "<li>x</li>" * 60_000, "<li><ul>" + "<div>" * 80_000 + "<li>x</li>" * 60_000, "<a '" + "><b' \"" * 150_000 + ">"):
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 12

@@ -35,6 +35,7 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|dis
 SILENT = frozenset("script style noscript template iframe svg math object canvas audio video head title select textarea button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+LISTS = frozenset("ul ol li".split())
 #: Elements that hold no article text, outside an article also header.
 ASIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 #: Words in class, id or role of elements that hold no article text.
@@ -49,10 +50,11 @@ FREE, BY_CLASS, BY_ELEMENT = range(3)
 
 
 class Scanner:
-    """Tags of a page, from left to right in one pass; what is looked for in vain isn't looked for again."""
+    """Tags of a page, from left to right in one pass; what is looked for in vain isn't looked for again, and a value that leads to no end of a tag isn't followed twice."""
 
     def __init__(self, html: str):
         self.html, self.quotes, self.missing, self.end = html, True, set(), 0
+        self.astray: set[int] = set()  # quotes that begin a value from which no end of a tag was found
         self.last = {q: html.rfind(q) for q in "\"'>"}
         low = html.lower()
         self.low = low if len(low) == len(html) else html
@@ -67,17 +69,19 @@ class Scanner:
 
     def tag_end(self, at: int) -> int:
         """The place after the > that ends a tag; in quotes it doesn't end one, unless a quote or the tag never ends."""
-        html, to = self.html, at
+        html, to, begun = self.html, at, []
         while self.quotes:
             to = PLAIN.match(html, to).end()
             if to >= len(html):
                 self.quotes = False
             elif html[to] == ">":
                 return to + 1
-            elif self.last[html[to]] == to:
+            elif self.last[html[to]] == to or to in self.astray:
                 break
             else:
+                begun.append(to)
                 to = html.index(html[to], to + 1) + 1
+        self.astray.update(begun)
         return html.index(">", at) + 1
 
     def tags(self):
@@ -126,6 +130,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
     stack: list[tuple[str, int, bool]] = []  # name, mark, article
     is_open: dict[str, int] = {}
     parts: list[str] = []
+    lists: list[int] = []  # where ul, ol and li stand in the stack
     marks = [0, 0, 0]
     linked = in_link = article = 0
 
@@ -141,6 +146,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
         nonlocal article
         name, mark, inside = stack.pop()
         is_open[name] -= 1
+        if name in LISTS:
+            lists.pop()
         marks[mark] -= 1
         article -= inside
 
@@ -176,14 +183,10 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
             in_link = 0
             while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p"):
                 pop()
-            if name == "li":
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ("ul", "ol"):
-                        break
-                    if stack[k][0] == "li":
-                        while len(stack) > k:
-                            pop()
-                        break
+            if name == "li" and lists and stack[lists[-1]][0] == "li":  # the one before ends
+                k = lists[-1]
+                while len(stack) > k:
+                    pop()
         inside = name in ("article", "main")
         mark = BY_ELEMENT if name in ASIDE or name == "header" and not article else FREE
         if attributes and not mark and name not in ("html", "body"):
@@ -195,6 +198,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
         inside = inside and not mark
         stack.append((name, mark, inside))
         is_open[name] = is_open.get(name, 0) + 1
+        if name in LISTS:
+            lists.append(len(stack) - 1)
         marks[mark] += 1
         article += inside
     end_line()
