@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evidence_queries, feed_queries, graph_queries, place_queries, record_queries, view_queries, work_queries, world_queries  # noqa: F401
+from . import curation_queries, evidence_queries, feed_queries, graph_queries, place_queries, record_queries, view_queries, work_queries, world_queries  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
 
 FLAGSHIP = "claim_noisy_or"

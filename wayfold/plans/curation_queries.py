@@ -1,0 +1,100 @@
+"""Queries on what curators and schedulers do: operations on events, the next reads, shapes of features."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.geometry import shape
+from ..operators import operations, selection
+from .registry import query, table
+
+
+def curated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers as events, orders as observations, and seven operations on each four customers A, B, C, D: merge A B, merge C B, split some of B's orders from A, move D's first order to C, undo the first merge (every second four), undo that (every fourth), merge D A."""
+    who = F.col("c_custkey")
+    events = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), who).alias("event"), who.cast("long").alias("born"), F.floor(who / 4).alias("k"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.floor(F.col("o_custkey") / 4).alias("k"))
+    members = orders.select(F.concat(F.lit("o"), "o_orderkey").alias("observation"), F.concat(F.lit("c"), "o_custkey").alias("event"))
+    k = F.col("k")
+    named = orders.groupBy("k").agg(
+        F.collect_list(F.when((F.col("o_custkey") == 4 * k + 1) & (F.col("o_orderkey") % 3 == 0), F.concat(F.lit("o"), "o_orderkey"))).alias("split"), F.min(F.when(F.col("o_custkey") == 4 * k + 3, F.col("o_orderkey"))).alias("d"))
+    fours = events.groupBy("k").agg(F.count("*").alias("n")).where("n = 4").join(named, "k", "left")
+    c = lambda i: F.concat(F.lit("c"), 4 * k + i - 1)
+    null, none = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    steps = [
+        ("merge", c(1), c(2), none, None), ("merge", c(3), c(2), none, None), ("split", c(1), F.concat(F.lit("s"), k), F.col("split"), None),
+        ("reattribute", null, c(3), F.when(F.col("d").isNotNull(), F.array(F.concat(F.lit("o"), "d"))), None), ("rollback", null, null, none, 1), ("rollback", null, null, none, 5), ("merge", c(4), c(1), none, None)]
+    rows = F.array(*[
+        F.struct((k * 10 + i + 1).cast("long").alias("seq"), F.lit(kind).alias("kind"), a.alias("left"), b.alias("right"), obs.alias("observations"), (k * 10 + target if target else F.lit(None)).cast("long").alias("target_seq"), F.lit(i + 1).alias("step"))
+        for i, (kind, a, b, obs, target) in enumerate(steps)])
+    log = fours.select("k", F.explode(rows).alias("r")).where("(r.step <> 5 or k % 2 = 0) and (r.step <> 6 or k % 4 = 0)").select("r.*").drop("step")
+    return events.drop("k"), members, log
+
+
+@query("""
+with fours as (select floor(c_custkey / 4)::bigint as k from customer group by 1 having count(*) = 4),
+o as (select o_orderkey, o_custkey, floor(o_custkey / 4)::bigint as k, o_custkey % 4 as i, min(o_orderkey) filter (o_custkey % 4 = 3) over (partition by floor(o_custkey / 4)) as d from orders),
+r as (select o.*, case when i = 1 and o_orderkey % 3 = 0 then 's' || k end as part, 'c' || (4 * k) as a, 'c' || o_custkey as own, fours.k is not null as four from o left join fours using (k)),
+s as (select *, case when not four then own when i = 3 then own else a end as e2, case when not four then own when i = 3 and o_orderkey <> d then own else coalesce(part, a) end as e4 from r),
+t as (select *, case when four and k % 2 = 0 and i = 1 then own else e4 end as e5 from s),
+u as (select *, case when k % 4 = 0 then e4 else e5 end as e6 from t)
+select 'o' || o_orderkey as observation, n as step, case n when 0 then own when 2 then e2 when 4 then e4 when 5 then e5 when 6 then e6 else case when four and i = 3 then a else e6 end end as event from u, (select unnest([0, 2, 4, 5, 6, 7]) as n)""")
+def event_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event of every order at first and after five of the steps that concern its customers."""
+    events, members, log = curated(spark, sf_dir)
+    ways = operations.histories(members, operations.replay(events, members, log))
+    block = members.select("observation", F.floor(F.substring("event", 2, 20).cast("long") / 4).alias("k"), F.explode(F.array(*map(F.lit, (0, 2, 4, 5, 6, 7)))).alias("step"))
+    return operations.as_of(block.join(ways, "observation"), F.col("k") * 10 + F.col("step")).select("observation", "step", "event")
+
+
+PER_SOURCE, MOST, READY = 200, 400, 60
+PER_PUBLISHER, OVERALL = {"fresh": 40, "backfill": 25}, {"fresh": 150, "backfill": 90}
+RANKED = "fresh desc, version"
+
+
+@query(f"""
+with v as (select doc_id as version, source, regexp_extract(source, '^[a-z]+') || doc_id % 7 as publisher, doc_id % 3 = 0 as fresh, doc_id % 5 = 0 as "full", case when doc_id % 4 = 0 then doc_id // 50 end as event from documents where source is not null),
+active as (select publisher, case when fresh then 'fresh' else 'backfill' end as kind, count(*) as n from v join labels on version = labels.doc_id where toxic = 1 and version % 2 = 1 group by all),
+every as (select kind, sum(n) as n from active group by kind),
+r0 as (select *, row_number() over (partition by publisher order by {RANKED}) as rank from (select * from v where event is not null qualify row_number() over (partition by event, publisher order by {RANKED}) = 1)),
+r as (select version, source, publisher, fresh, "full", true as ready, row_number() over (order by rank, publisher) - 1 as turn from r0 qualify turn < {READY}),
+s0 as (select *, row_number() over (partition by publisher order by source, {RANKED}) as rank from (select * from v qualify row_number() over (partition by source order by {RANKED}) <= {PER_SOURCE})),
+s as (select version, source, publisher, fresh, "full", false as ready, row_number() over (order by rank, publisher <= 'm', publisher) - 1 + {READY} as turn from s0 qualify turn < {MOST} + {READY}),
+b as (select *, case when "full" then 'full' when fresh then 'fresh' else 'backfill' end as kind from (select * from r union all select * from s) qualify row_number() over (partition by version order by turn) = 1),
+p as (select b.*, row_number() over (partition by publisher, kind order by turn) + coalesce(n, 0) as upto from b left join active using (publisher, kind)),
+q as (select p.*, row_number() over (partition by kind order by turn) + coalesce(n, 0) as all_upto from p left join every using (kind) where kind = 'full' or upto <= case kind when 'fresh' then {PER_PUBLISHER["fresh"]} else {PER_PUBLISHER["backfill"]} end)
+select version, publisher, source, kind, ready, row_number() over (order by turn) - 1 as place, case when ready then 2.0 when fresh then 1.0 else 0.5 end::double as priority
+from q where kind = 'full' or all_upto <= case kind when 'fresh' then {OVERALL["fresh"]} else {OVERALL["backfill"]} end qualify place < {MOST}""")
+def article_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that a cycle fetches next: turns of publishers, waiting events first, under ceilings for each publisher and for all."""
+    docs = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    rows = docs.select(
+        i.alias("version"), "source", F.concat(F.regexp_extract("source", "^[a-z]+", 0), (i % 7).cast("string")).alias("publisher"), (i % 3 == 0).alias("fresh"), (i % 5 == 0).alias("full"), F.when(i % 4 == 0, F.floor(i / 50)).alias("event"))
+    labelled = rows.join(table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("version")), "version").where("version % 2 = 1")
+    active = labelled.groupBy("publisher", F.when(F.col("fresh"), "fresh").otherwise("backfill").alias("kind")).agg(F.count("*").alias("n"))
+    return selection.select(rows, active, PER_SOURCE, MOST, READY, PER_PUBLISHER, OVERALL, cursor="m")
+
+
+@query("""
+with p as (select l_orderkey as id, l_linenumber, (3 * l_quantity - 90)::bigint as x, 10 * l_linenumber - 35 as y, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity) as i, l_orderkey % 7 as kind from lineitem),
+u as (select id, kind, avg(y) as latitude, avg(x) as longitude, min(x) as west, min(y) as south, max(x) as east, max(y) as north, count(*) as points from p where kind not in (4, 5) and (kind > 0 or i = 1) group by id, kind),
+f as (select o_orderkey as id, o_orderkey % 90 as y, o_orderkey % 180 as x from orders where o_orderkey not in (select id from u) and o_orderkey % 5 <> 0)
+select id, case kind when 0 then 'Point' when 1 then 'LineString' when 2 then 'Polygon' when 3 then 'MultiPolygon' else 'Mixed' end as type, latitude, longitude, west::double as west, south::double as south, east::double as east, north::double as north, points::int as points from u
+union all select id, 'Point', y::double, x::double, x::double, y::double, x::double, y::double, 1 from f""")
+def feature_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Center and box of a GeoJSON text for every order: its lines as points, one to three arrays deep, or mixed with text and points outside the world; some are broken or hold nothing."""
+    at = F.struct("l_linenumber", "l_quantity", F.array((3 * F.col("l_quantity") - 90).cast("long"), (10 * F.col("l_linenumber") - 35).cast("long")).alias("p"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(at)), lambda s: s["p"]).alias("p"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left")
+    k, p = F.col("o_orderkey") % 7, F.array_join(F.transform("p", lambda a: F.concat(F.lit("["), F.array_join(a.cast("array<string>"), ","), F.lit("]"))), ",")
+    told = lambda kind, text: F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), *text, F.lit("}"))
+    text = (
+        F.when(k == 0, told("Point", [F.lit("["), F.array_join(F.get("p", F.lit(0)).cast("array<string>"), ","), F.lit("]")]))
+        .when(k == 1, told("LineString", [F.lit("["), p, F.lit("]")])).when(k == 2, told("Polygon", [F.lit("[["), p, F.lit("]]")])).when(k == 3, told("MultiPolygon", [F.lit("[[["), p, F.lit("]]]")]))
+        .when(k == 4, F.lit('{"type":"GeometryCollection","geometries":[]}')).when(k == 5, F.lit('{"type":"Polygon","coordinates":[[1,'))
+        .otherwise(told("Mixed", [F.lit('[["1","2"],[400,0],[[],null,['), p, F.lit("]]]")])))
+    where = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey"))
+    found = rows.select(F.col("o_orderkey").alias("id"), shape(text, (where % 90).cast("double"), (where % 180).cast("double")).alias("s")).where("s is not null")
+    return found.select("id", "s.type", "s.latitude", "s.longitude", "s.west", "s.south", "s.east", "s.north", "s.points")
