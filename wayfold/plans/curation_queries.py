@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import shape
-from ..operators import operations, selection
+from ..operators import operations, revision, selection
 from .registry import query, table
 
 
@@ -98,3 +98,41 @@ def feature_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey"))
     found = rows.select(F.col("o_orderkey").alias("id"), shape(text, (where % 90).cast("double"), (where % 180).cast("double")).alias("s")).where("s is not null")
     return found.select("id", "s.type", "s.latitude", "s.longitude", "s.west", "s.south", "s.east", "s.north", "s.points")
+
+
+def checked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers as claims of each nation, orders as results of their verification; every tenth order was applied before."""
+    i, who = F.col("o_orderkey"), F.col("c_custkey")
+    pick = lambda names, n: F.get(F.array(*[F.lit(x) for x in names]), n.cast("int"))
+    claims = table(spark, sf_dir, "customer").select(
+        who.cast("string").alias("claim_id"), "c_nationkey", F.col("c_nationkey").cast("string").alias("situation"), pick(["seismic.magnitude", "event.status", "topic.other"], who % 3).alias("predicate"), (who % 11).cast("string").alias("value"),
+        pick(["corroborated", "refuted", "disputed", "unverified"], who % 4).alias("truth_status"), (who % 90 / 100).alias("confidence"))
+    observed = F.concat(F.lit('{"magnitude":"'), (i % 13).cast("string"), F.lit('","status":"S'), (i % 3).cast("string"), F.lit('"}'))
+    results = table(spark, sf_dir, "orders").select(
+        i.alias("result_id"), F.col("o_custkey").cast("string").alias("claim_id"), pick(["supports", "refutes", "refutes", "supports", "inconclusive", "mixed", "revises", "supports", "refutes"], i * 7 % 9).alias("result"), (i * 13 % 120 / 100).alias("confidence"), observed.alias("observed"))
+    return claims.drop("c_nationkey"), results, results.where("result_id % 10 = 0").select("result_id")
+
+
+APPLIED = """with recursive r as (select o_orderkey as result_id, o_custkey as claim_id, ['corroborated', 'refuted', 'refuted', 'corroborated', 'unverified', 'disputed', 'superseded', 'corroborated', 'refuted'][o_orderkey * 7 % 9 + 1] as asked, least(0.99::double, (o_orderkey * 13 % 120)::double / 100) as sure,
+  row_number() over (partition by o_custkey order by o_orderkey) as n from orders where o_orderkey % 10 <> 0 and o_custkey in (select c_custkey from customer)),
+c as (select c_custkey as claim_id, c_nationkey as situation, ['seismic.magnitude', 'event.status', 'topic.other'][c_custkey % 3 + 1] as predicate, (c_custkey % 11)::varchar as value, ['corroborated', 'refuted', 'disputed', 'unverified'][c_custkey % 4 + 1] as status, (c_custkey % 90)::double / 100 as confidence from customer),
+s(claim_id, n, result_id, before, status, confidence, told, told_confidence) as (select claim_id, 0::bigint, null::bigint, null::varchar, status, confidence, null::varchar, null::double from c
+union all select claim_id, n, result_id, before, case when asked = 'unverified' then before else told end, case when asked = 'unverified' then old else told_confidence end, told, told_confidence from
+ (select *, case when clash then 'disputed' else asked end as told, round(case when clash then least(0.7::double, greatest(sure, old)) else sure end, 4) as told_confidence from
+ (select r.claim_id, r.n, r.result_id, r.asked, r.sure, s.status as before, s.confidence as old, (s.status = 'corroborated' and asked = 'refuted' or s.status = 'refuted' and asked = 'corroborated') and sure <= s.confidence + 0.1::double as clash from s join r on r.claim_id = s.claim_id and r.n = s.n + 1))),
+ledger as (select result_id, claim_id, before as previous_status, told as truth_status, told_confidence as confidence from s where n > 0)"""
+
+
+@query(APPLIED + " select result_id, claim_id::varchar as claim_id, previous_status, truth_status, confidence from ledger")
+def applied_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every result of verification that wasn't applied yet makes of its claim."""
+    return revision.apply_results(*checked(spark, sf_dir)).drop("observed")
+
+
+@query(APPLIED + """, v as (select c.situation::varchar as situation, predicate, case predicate when 'seismic.magnitude' then (result_id % 13)::varchar when 'event.status' then 'S' || result_id % 3 end as value, l.confidence, l.claim_id::varchar as revises, result_id from ledger l join c using (claim_id) where truth_status = 'superseded')
+select 'revision:' || result_id as claim_id, situation, predicate, value, 'corroborated' as truth_status, confidence, revises from v where value is not null and not exists (select 1 from c where c.situation::varchar = v.situation and c.predicate = v.predicate and c.value = lower(v.value))
+qualify row_number() over (partition by situation, predicate, value order by result_id) = 1""")
+def revised_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims that superseding results open."""
+    claims, results, applied = checked(spark, sf_dir)
+    return revision.revised_claims(claims, revision.apply_results(claims, results, applied))
