@@ -100,3 +100,40 @@ def select(rows: DataFrame, active: DataFrame, per_source: int, most: int, ready
     taken = within_ceilings(kinds, "publisher", "kind", "turn", active, per_publisher, overall, most)
     priority = F.when(F.col("ready"), 2.0).when(F.col("fresh"), 1.0).otherwise(0.5)
     return taken.select("version", "publisher", "source", "kind", "ready", "place", priority.alias("priority"))
+
+
+def leased(tasks: DataFrame, publisher: str, order: list[Column], k: int, ident: str) -> DataFrame:
+    """The first k tasks of each publisher by the order, then by ident, with publisher_rank from 1."""
+    found = first_of(tasks, publisher, [*order, F.col(ident)], k, ident, "_rank")
+    return found.withColumn("publisher_rank", F.col("_rank") + 1).drop("_rank")
+
+
+def article_order(kind: str, priority: str, status: str, at: str) -> list[Column]:
+    """Fresh articles first, then those of waiting events (priority 2 or more), then retries, then the rest; each by time."""
+    level = F.when(F.col(kind) == "fresh", 0).when(F.col(priority) >= 2, 1).when(F.col(status) == "retry", 2).otherwise(3)
+    return [level, F.col(at)]
+
+
+def fair_order(fresh: str, ready: str, priority: str, at: str) -> list[Column]:
+    """Fresh work first, then what makes an event ready, then by priority (small first) and time."""
+    return [F.col(fresh).desc(), F.col(ready).desc(), F.col(priority), F.col(at)]
+
+
+def lane_rotation(jobs: DataFrame, lane: str, order: list[Column], sequence: list[str], start: int, most: int, ident: str) -> DataFrame:
+    """The first `most` jobs that a weighted rotation of lanes leases, with `place` from 0.
+
+    sequence names lanes in turn, as often as their weights (verification three
+    times, then gaps); the rotation starts at its entry `start`.  An entry whose
+    lane has no job left is passed over.  The job of rank r in a lane of weight w
+    comes in round r div w at the lane's entry r mod w, so rounds and entries
+    sort the jobs and nothing is leased one by one.  Jobs of other lanes are left
+    out; an empty sequence gives none.
+    """
+    turned = sequence[start % len(sequence) :] + sequence[: start % len(sequence)] if sequence else []
+    slots = {x: [i for i, y in enumerate(turned) if y == x] for x in turned}
+    ranked = first_of(jobs.where(F.col(lane).isin(*slots) if slots else F.lit(False)), lane, [*order, F.col(ident)], most, ident, "_rank")
+    pick = lambda f: F.coalesce(*[F.when(F.col(lane) == x, f(s)) for x, s in slots.items()], F.lit(None).cast("int"))
+    entry = pick(lambda s: F.get(F.array(*map(F.lit, s)), (F.col("_rank") % len(s)).cast("int")))
+    round_ = pick(lambda s: F.floor(F.col("_rank") / len(s)).cast("int"))
+    placed = numbered(ranked.withColumn("_round", round_).withColumn("_entry", entry), [F.col("_round"), F.col("_entry")], "place")
+    return placed.where(F.col("place") < most).drop("_rank", "_round", "_entry")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import shape
-from ..operators import operations, revision, selection
+from ..operators import grounding, operations, revision, selection
 from .registry import query, table
 
 
@@ -136,3 +136,79 @@ def revised_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims that superseding results open."""
     claims, results, applied = checked(spark, sf_dir)
     return revision.revised_claims(claims, revision.apply_results(claims, results, applied))
+
+
+ADAPTERS = ["usgs", "nws-alerts", "cisa-kev", "eonet", "world-bank", "fred", "firms", "github-advisories"]
+SPEAKERS = ["usgs_earthquakes", "nws_alerts", "nasa_eonet", "press", "nasa_firms_wildfires"]
+
+
+def grounded_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as claims, their lines as the documents that state them."""
+    i, p, s = F.col("o_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    claims = table(spark, sf_dir, "orders").select(
+        i.alias("claim"), F.concat(F.lit("value "), F.when(i % 50 == 0, F.concat(F.lit("cve-2020-"), (i % 1000 + 1000).cast("string"))).otherwise("")).alias("object"), F.when(i % 3 == 0, F.lit(" Report")).when(i % 3 == 1, "nobody").alias("speaker"),
+        F.when(i % 9 == 0, "unknown").otherwise("checkable").alias("verifiability"), F.when(i % 8 == 0, "event.reported").otherwise("topic").alias("predicate"))
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")) + 10
+    docs = table(spark, sf_dir, "lineitem").withColumn("n", number).select(
+        F.col("l_orderkey").alias("claim"), F.concat("l_orderkey", F.lit("-"), "n").alias("document"), F.get(F.array(*map(F.lit, SPEAKERS)), (s % 5).cast("int")).alias("source"), F.when(p % 7 == 0, "no id").otherwise(F.concat(F.lit("x/y"), p)).alias("external_id"),
+        F.concat(F.lit("Report "), F.when(p % 6 == 0, F.concat(F.lit("of CVE-2024-"), p % 40 + 1000)).otherwise("")).alias("title"), F.lit(None).cast("string").alias("summary"),
+        F.when(s % 4 == 0, p % 90).cast("double").alias("lat"), F.when(s % 4 == 0, p % 360).cast("double").alias("lon"), F.col("l_shipdate").alias("published_at"), F.col("l_shipdate").alias("retrieved_at"),
+        F.when(F.col("n") == 11, F.concat(F.lit('{"country_code":"c'), p % 9, F.lit('","indicator_code":"i","series_id":"s'), p % 5, F.lit('","year":"20'), p % 30 + 10, F.lit('"}'))).when(F.col("n") == 12, "{").alias("metadata"))
+    return claims, docs
+
+
+GROUNDED = """with d0 as (select l_orderkey as claim, l_partkey as p, l_suppkey as s, l_shipdate as at_, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) + 10 as n from lineitem),
+d as (select *, claim || '-' || n as document, ['usgs_earthquakes', 'nws_alerts', 'nasa_eonet', 'press', 'nasa_firms_wildfires'][s % 5 + 1] as source, case when p % 7 = 0 then 'no id' else 'x/y' || p end as ident, case when p % 6 = 0 then 'CVE-2024-' || (p % 40 + 1000) end as code,
+  case when s % 4 = 0 then (p % 90)::double end as lat, case when s % 4 = 0 then (p % 360)::double end as lon, strftime(at_, '%Y-%m-%dT%H:%M:%S') as said, row_number() over (partition by claim order by at_ desc, document desc) - 1 as r from d0),
+c as (select o_orderkey as claim, case when o_orderkey % 50 = 0 then 'CVE-2020-' || (o_orderkey % 1000 + 1000) end as code from orders),
+e as (select d.* from d join c using (claim) where r < 8 and claim % 9 <> 0 and claim % 8 <> 0),
+v as (select claim, r, document, 'authority_record' as type, source as namespace, ident as value, 0.99 as confidence, 'source_metadata' as method from e where source <> 'press' and ident <> 'no id'
+union all select claim, r, document, 'geo_time_window', 'wgs84', '{"latitude":' || lat || ',"longitude":' || lon || ',"observed_at":"' || said || '"}', 0.94, 'document_coordinates' from e where lat is not null and lon <= 180
+union all select claim, r, document, k, ns, case k when 'country_code' then 'c' || p % 9 when 'indicator_code' then 'i' when 'series_id' then 's' || p % 5 else '20' || (p % 30 + 10) end, 0.98, 'source_metadata' from e, (values ('country_code', 'iso3166'), ('indicator_code', 'world-bank'), ('series_id', 'fred'), ('year', 'gregorian')) m(k, ns) where n = 11
+union all select distinct claim, 8, null, 'security_identifier', 'cve', code, 0.99, 'exact_pattern' from (select claim, code from e union all select claim, code from c where claim % 9 <> 0 and claim % 8 <> 0) where code is not null
+union all select distinct claim, 8, null, 'named_entity', 'speaker', 'Report', 0.85, 'claim_attribution' from e where claim % 3 = 0),
+g as (select claim, type, namespace, value, confidence::double as confidence, document, method, row_number() over (partition by claim order by confidence desc, r, type, namespace, value) - 1 as place from v qualify place < 24)"""
+
+
+@query(GROUNDED + " select * from g")
+def claim_groundings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers, places, codes and speakers that the documents of every claim state."""
+    return grounding.groundings(*grounded_claims(spark, sf_dir))
+
+
+@query(GROUNDED + f""", t as (select claim, [{", ".join(f"'{a}'" for a in ADAPTERS)}][claim % 8 + 1] as adapter, claim as task from c),
+o as (select claim, arg_max(p, r) filter (false) as none, arg_min(case when p % 7 = 0 then 'no id' else 'x/y' || p end, r) filter (source = 'nws_alerts') as alert, arg_min(lat, r) filter (lat is not null) as lat, arg_min(lon, r) filter (lat is not null) as lon, arg_min(said, r) filter (lat is not null) as said, arg_min(code, r) filter (code is not null) as code, arg_min(p, r) filter (n = 11) as p from d group by claim),
+h as (select claim, arg_min(value, place) filter (namespace = 'usgs_earthquakes') as usgs, arg_min(value, place) filter (namespace = 'nasa_eonet') as eonet, arg_min(value, place) filter (type = 'geo_time_window') as win from g group by claim),
+j as (select t.*, o.* exclude (claim), h.* exclude (claim), c.code as own from t join c using (claim) left join o using (claim) left join h using (claim)),
+k as (select *, case adapter when 'usgs' then usgs when 'cisa-kev' then coalesce(own, code) when 'github-advisories' then coalesce(own, code) when 'eonet' then eonet when 'world-bank' then 'C' || p % 9 || ':I:20' || (p % 30 + 10) when 'fred' then 'S' || p % 5 || ':' end as ident,
+ case adapter when 'usgs' then '{{"latitude":' || lat || ',"longitude":' || lon || ',"published_at":"' || said || '","radius_km":100}}' when 'firms' then replace(win, '"}}', '","radius_km":25}}') end as window_ from j)
+select task, claim, adapter, case when ident is not null then case adapter when 'usgs' then 'usgs_event_id' when 'eonet' then 'event_id' when 'world-bank' then 'world_bank_observation' when 'fred' then 'fred_observation' else 'cve' end when window_ is not null then 'geo_time_window' else '' end as identifier_type, coalesce(ident, '') as identifier,
+ coalesce(case adapter when 'world-bank' then '{{"country":"C' || p % 9 || '","indicator":"I","year":"20' || (p % 30 + 10) || '"}}' when 'fred' then '{{"series_id":"S' || p % 5 || '","date":""}}' else '{{"' || case adapter when 'usgs' then 'event_id' when 'eonet' then 'event_id' else 'cve' end || '":"' || ident || '"}}' end, window_, '') as query, ident is not null or window_ is not null as ready from k""")
+def verification_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lookup that each claim's task makes: an identifier, or a place and time, by adapter."""
+    claims, docs = grounded_claims(spark, sf_dir)
+    tasks = claims.select(F.col("claim").alias("task"), "claim", F.get(F.array(*map(F.lit, ADAPTERS)), (F.col("claim") % 8).cast("int")).alias("adapter"))
+    return grounding.targets(tasks, claims, docs, grounding.groundings(claims, docs))
+
+
+TASK = "select doc_id, source, doc_id % 3 = 0 as fresh, doc_id % 5 < 2 as ready, doc_id % 4 as priority, case when doc_id % 7 = 0 then 'retry' else 'pending' end as status, n_chars % 50 as at_ from documents"
+
+
+@query(f"""with t as ({TASK}), a as (select doc_id, source, row_number() over (partition by source order by case when fresh then 0 when priority >= 2 then 1 when status = 'retry' then 2 else 3 end, at_, doc_id) as publisher_rank from t),
+b as (select doc_id, source, row_number() over (partition by source order by fresh desc, ready desc, priority, at_, doc_id) as publisher_rank from t)
+select 'article' as queue, * from a where publisher_rank <= 25 union all select 'framing', * from b where publisher_rank <= 25""")
+def publisher_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 25 tasks of each source, by the order of articles and by that of framing."""
+    i = F.col("doc_id")
+    tasks = table(spark, sf_dir, "documents").select(i, "source", F.when(i % 3 == 0, "fresh").otherwise("backfill").alias("kind"), (i % 3 == 0).alias("fresh"), (i % 5 < 2).alias("ready"), (i % 4).alias("priority"), F.when(i % 7 == 0, "retry").otherwise("pending").alias("status"), (F.col("n_chars") % 50).alias("at"))
+    orders = {"article": selection.article_order("kind", "priority", "status", "at"), "framing": selection.fair_order("fresh", "ready", "priority", "at")}
+    a, b = (selection.leased(tasks, "source", order, 25, "doc_id").select(F.lit(name).alias("queue"), "doc_id", "source", "publisher_rank") for name, order in orders.items())
+    return a.union(b)
+
+
+@query("""with t as (select doc_id, case when doc_id % 5 = 0 then 'gap' when doc_id % 5 < 4 then 'verification' else 'other' end as lane, n_chars as at_ from documents), r as (select *, row_number() over (partition by lane order by at_, doc_id) - 1 as i from t where lane <> 'other')
+select doc_id, lane, row_number() over (order by case lane when 'gap' then i else i // 3 end, case lane when 'gap' then 1 else [0, 2, 3][i % 3 + 1] end) - 1 as place from r qualify place < 500""")
+def lane_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 500 jobs of a rotation of three verifications to one gap that starts at the last verification."""
+    jobs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "gap").when(F.col("doc_id") % 5 < 4, "verification").otherwise("other").alias("lane"), F.col("n_chars").alias("at"))
+    return selection.lane_rotation(jobs, "lane", [F.col("at")], ["verification", "verification", "verification", "gap"], 2, 500, "doc_id").select("doc_id", "lane", "place")
