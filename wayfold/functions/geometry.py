@@ -20,18 +20,30 @@ def _number(v: Column) -> Column:
     return F.when(F.schema_of_variant(v).rlike(_NUMBER), F.try_variant_get(v, "$", "double"))
 
 
-def _opened(node: Column) -> Column:
-    """A point as it is, another array's entries, and nothing for the rest."""
-    inside, nothing = node["inside"], F.array().cast("array<struct<inside:array<variant>,x:double,y:double>>")
-    return F.when(node["x"].isNotNull(), F.array(node)).otherwise(F.coalesce(F.transform(inside, lambda v: _node(_items(v))), nothing))
+def _once(x: Column, use) -> Column:
+    """use(x), with x computed once."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
 
 
-def _node(items: Column) -> Column:
-    first = F.get(items, F.lit(0))
-    second = F.get(items, F.lit(1))
-    x, y = _number(first), _number(second)
-    whole = x.isNotNull() & y.isNotNull()
-    return F.struct(items.alias("inside"), F.when(whole, x).alias("x"), F.when(whole, y).alias("y"))
+def _node(v: Column) -> Column:
+    """x and y of a point; else the entries of an array, or none."""
+
+    def told(items: Column) -> Column:
+        def placed(p: Column) -> Column:
+            whole = p["x"].isNotNull() & p["y"].isNotNull()
+            return F.struct(F.when(~whole, items).alias("inside"), F.when(whole, p["x"]).alias("x"), F.when(whole, p["y"]).alias("y"))
+
+        two = F.struct(_number(F.get(items, F.lit(0))).alias("x"), _number(F.get(items, F.lit(1))).alias("y"))
+        return _once(F.when(F.size(items) >= 2, two).otherwise(F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))), placed)
+
+    return _once(_items(v), told)
+
+
+def _level(found: Column, _: Column) -> Column:
+    """Points as they are, other arrays' entries, and nothing for the rest; unchanged where only points are left."""
+    nothing = F.array().cast("array<struct<inside:array<variant>,x:double,y:double>>")
+    opened = F.flatten(F.transform(found, lambda n: F.when(n["x"].isNotNull(), F.array(n)).otherwise(F.coalesce(F.transform(n["inside"], _node), nothing))))
+    return F.when(F.exists(found, lambda n: n["x"].isNull()), opened).otherwise(found)
 
 
 def shape(text: Column, lat: Column, lon: Column) -> Column:
@@ -46,33 +58,30 @@ def shape(text: Column, lat: Column, lon: Column) -> Column:
     where it has coordinates that hold no point, but the geometry kept is the
     point.  A shape of more than 250000 characters is kept as its center.
     """
-    v = F.try_parse_json(text)
-    coordinates = F.try_variant_get(v, "$.coordinates", "variant")
-    none = coordinates.isNull() | F.is_variant_null(coordinates) | (F.size(_items(coordinates)) == 0)
-    there = lat.isNotNull() & lon.isNotNull()
-    start = F.array(_node(_items(coordinates)))
-    nodes = F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), start, lambda found, _: F.flatten(F.transform(found, _opened)))
-    points = F.filter(nodes, lambda n: n["x"].between(-180, 180) & n["y"].between(-90, 90))
-    points = F.transform(points, lambda n: F.struct(n["x"].alias("x"), n["y"].alias("y")))
-    return _summary(text, v, coordinates, none, points, there, lat, lon)
-
-
-def _summary(text, v, coordinates, none, points, there, lat, lon) -> Column:
-    stand_in = F.array(F.struct(lon.cast("double").alias("x"), lat.cast("double").alias("y")))
-    own = F.when(~F.coalesce(none, F.lit(True)) & (F.size(points) > 0), F.slice(points, 1, POINTS))
-    used = F.coalesce(own, F.when(there, stand_in))
-    kind = F.when(F.coalesce(none, F.lit(True)), "Point").otherwise(F.substring(F.coalesce(F.nullif(F.try_variant_get(v, "$.type", "string"), F.lit("")), F.lit("Point")), 1, 30))
+    def told(v: Column) -> Column:
+        coordinates = F.try_variant_get(v, "$.coordinates", "variant")
+        nodes = F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), F.array(_node(coordinates)), _level)
+        seen = F.filter(nodes, lambda n: n["x"].between(-180, 180) & n["y"].between(-90, 90))
+        points = F.slice(F.transform(seen, lambda n: F.struct(n["x"].alias("x"), n["y"].alias("y"))), 1, POINTS)
+        return _once(F.struct(points.alias("own"), coordinates.alias("coordinates"), F.try_variant_get(v, "$.type", "string").alias("type")), lambda s: _summary(s, lat, lon))
+
+    return _once(F.try_parse_json(text), told)
+
+
+def _summary(s: Column, lat: Column, lon: Column) -> Column:
+    stand_in = F.when(lat.isNotNull() & lon.isNotNull(), F.array(F.struct(lon.cast("double").alias("x"), lat.cast("double").alias("y"))))
+    own = F.size(s["own"]) > 0
+    kind = F.substring(F.coalesce(F.nullif(s["type"], F.lit("")), F.lit("Point")), 1, 30)
 
     def told(p: Column) -> Column:
         xs, ys = F.transform(p, lambda n: n["x"]), F.transform(p, lambda n: n["y"])
         mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-        whole = F.to_json(F.struct(kind.alias("type"), coordinates.alias("coordinates")))
+        whole = F.to_json(F.struct(kind.alias("type"), s["coordinates"].alias("coordinates")))
         center = F.to_json(F.struct(F.lit("Point").alias("type"), F.array(mean(xs), mean(ys)).alias("coordinates")))
-        kept = F.when(own.isNotNull() & (F.length(whole) <= LONGEST), whole).otherwise(center)
+        kept = _once(whole, lambda w: F.when(own & (F.length(w) <= LONGEST), w).otherwise(center))
         return F.struct(
-            F.when(own.isNull(), "Point").otherwise(kind).alias("type"), mean(ys).alias("latitude"), mean(xs).alias("longitude"),
+            F.when(own, kind).otherwise("Point").alias("type"), mean(ys).alias("latitude"), mean(xs).alias("longitude"),
             F.array_min(xs).alias("west"), F.array_min(ys).alias("south"), F.array_max(xs).alias("east"), F.array_max(ys).alias("north"),
             F.size(p).alias("points"), kept.alias("geometry"))
 
-    # One evaluation of the points for all fields.
-    return F.get(F.transform(F.array(used), lambda p: F.when(p.isNotNull(), told(p))), F.lit(0))
+    return _once(F.when(own, s["own"]).otherwise(stand_in), lambda p: F.when(p.isNotNull(), told(p)))

@@ -227,7 +227,8 @@ def histories(members: DataFrame, done: DataFrame) -> DataFrame:
     intervals by itself, so an event with a third of all observations is no one
     task's.  What no operation touched stays where it is from 0 on.
     """
-    ways = done.where("what = 'member'").groupBy("token").agg(F.collect_list(F.struct(F.col("value").alias("event"), "from_seq", "to_seq")).alias("_way"))
+    # Both joins below read them; a token's intervals are as many as the operations that moved it.
+    ways = written(done.where("what = 'member'").groupBy("token").agg(F.collect_list(F.struct(F.col("value").alias("event"), "from_seq", "to_seq")).alias("_way")), "ways")
     first = members.where("observation is not null and event is not null").groupBy("observation").agg(F.min("event").alias("event"))
     single = first.withColumn("token", F.concat(F.lit("o:"), "observation")).join(ways, "token", "left")
     base = met(single.select("observation", "event", F.col("_way").alias("_own"), F.concat(F.lit("e:"), "event").alias("token")), "token", ways, "observation")
