@@ -95,3 +95,20 @@ def test_an_hours_last_half_second_is_the_next_hours(spark, tmp_path):
     spark.createDataFrame(at, "user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
     found = {r.icao24: r.observed_at.hour for r in feed_queries.feed_aircraft(spark, str(tmp_path)).collect()}
     assert found == {"h1": 6, "h2": 5, "h3": 6}
+
+
+def test_payloads_of_searches_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    spark.range(9000).select(F.col("id").alias("p_partkey"), F.lit("n").alias("p_name"), F.lit("B").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    seen = {}
+    for name, array in (("found_posts", "data"), ("news_search", "articles")):
+        whole = getattr(feeds, name)
+        monkeypatch.setattr(feeds, name, lambda landed, whole=whole, array=array: (seen.update({array: [len(json.loads(r.payload)[array]) for r in landed.select("payload").collect()]}), whole(landed))[1])
+    assert feed_queries.feed_found_posts(spark, str(tmp_path)).count() == 700
+    assert feed_queries.feed_news_search(spark, str(tmp_path)).count() == 500
+    assert all(sum(n) == 9000 and max(n) <= 2000 for n in seen.values()) and len(seen) == 2
+
+
+def test_found_posts_have_the_names_of_their_payload(spark):
+    post = {"id": "1", "text": "t", "author_id": "7"}
+    rows = feeds.found_posts(landed(spark, {"data": [post, {"id": "2", "author_id": "8"}], "includes": {"users": [{"id": "7", "username": "Ann"}]}}, {"data": [post]}, context="c")).collect()
+    assert {r.external_id: r.title for r in rows}["2"] == "Post by an unknown author" and len(rows) == 2

@@ -279,8 +279,11 @@ def channel_posts(landed: DataFrame, categories: list[tuple[list[str], str]]) ->
 def found_posts(landed: DataFrame) -> DataFrame:
     """Posts found by several searches (column context): one for each id, with the set of searches that found it."""
     rows = landed.select("context", F.from_json("payload", "data array<struct<id string, text string, author_id string, created_at string>>, includes struct<users array<struct<id string, username string>>>").alias("p"))
-    each = rows.select("context", F.explode("p.data").alias("r"), F.map_from_entries(F.coalesce(F.transform("p.includes.users", lambda u: F.struct(u["id"], u["username"])), F.array().cast("array<struct<id:string,username:string>>"))).alias("u")).where(text("r.id").isNotNull())
-    one = each.groupBy(F.col("r.id").alias("i")).agg(F.min_by(F.struct("r", F.try_element_at("u", F.col("r.author_id")).alias("name")), "context").alias("x"), F.sort_array(F.collect_set("context")).alias("contexts")).select("x.*", "contexts")
+    users = F.map_from_entries(F.coalesce(F.transform("p.includes.users", lambda u: F.struct(u["id"], u["username"])), F.array().cast("array<struct<id:string,username:string>>")))
+    # Names go to the posts inside a payload: nothing of it but the array is beside the rows that the array gives.
+    named = rows.select("context", "p.data", users.alias("u")).select("context", F.transform("data", lambda r: F.struct(r.alias("r"), F.try_element_at("u", r["author_id"]).alias("name"))).alias("_posts"))
+    each = named.select("context", F.explode("_posts").alias("x")).where(text("x.r.id").isNotNull())
+    one = each.groupBy(F.col("x.r.id").alias("i")).agg(F.min_by("x", "context").alias("x"), F.sort_array(F.collect_set("context")).alias("contexts")).select("x.*", "contexts")
     return item(one, "posts", external_id=F.col("r.id"), title=F.concat(F.lit("Post by "), F.coalesce("name", F.lit("an unknown author"))), url=F.concat(F.lit("post:"), F.col("r.id")), summary=F.coalesce("r.text", F.lit("")), published_at=F.col("r.created_at"), category=F.lit("social-signal"), metadata=meta(contexts=F.col("contexts"), author=F.col("name")))
 
 
