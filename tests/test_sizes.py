@@ -23,3 +23,11 @@ def test_nothing_is_broadcast_among_reports_of_one_place(spark):
     assert both.count() == sum(a % 3 == b % 3 and -14 * 86400 <= (b - a) * 40_000 <= 86400 for a in range(50) for b in range(50))
     assert "Broadcast" not in plan(families.star(rows, "place", "id", F.lit(True)))
     assert "Broadcast" not in plan(families.met(rows, "place", rows.groupBy("place").agg(F.max("id").alias("m")), "id"))
+
+
+def test_places_within_reach_go_to_all_partitions(spark):
+    draw = random.Random(6)
+    a, b = ([(i, draw.uniform(-90, 90), draw.uniform(-180, 180)) for i in range(n)] for n in (60, 300))
+    found = joins.within_km(spark.createDataFrame(a, "a_id long, a_lat double, a_lon double"), spark.createDataFrame(b, "b_id long, b_lat double, b_lon double"), 900.0, 2.0)
+    assert "Broadcast" not in plan(found) and "REPARTITION_BY_NUM" in plan(found)
+    assert {(r.a_id, r.b_id) for r in found.collect()} == {(i, j) for i, *p in a for j, *q in b if km(p, q) <= 900}
