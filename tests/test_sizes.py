@@ -25,6 +25,23 @@ def test_nothing_is_broadcast_among_reports_of_one_place(spark):
     assert "Broadcast" not in plan(families.met(rows, "place", rows.groupBy("place").agg(F.max("id").alias("m")), "id"))
 
 
+def test_medoids_in_chunks_equal_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(places, "TILE", 7)
+    draw = random.Random(5)
+    rows = [(g, 100 * g + i, draw.uniform(-90, 90), draw.uniform(-180, 180), draw.uniform(0, 9)) for g in range(3) for i in range((1, 2, 60)[g])]
+    rows += [(2, 50, *rows[-1][2:]), (4, 7, 0.0, 0.0, 1.0), (4, 6, 0.0, 90.0, 1.0)]  # one place twice; a tie
+    found = {r.g: (r.medoid, r.members) for r in places.medoids(spark.createDataFrame(rows, "g int, i long, lat double, lon double, w double"), "g", "i", "lat", "lon", "w").collect()}
+    for g in (0, 1, 2, 4):
+        mine = [r for r in rows if r[0] == g]
+        far = lambda r: round(sum(o[4] * km(r[2:4], o[2:4]) for o in mine), 3)  # noqa: E731, B023
+        assert found[g] == (min(mine, key=lambda r: (far(r), r[1]))[1], len(mine))
+
+
+def test_a_member_of_unknown_place_is_no_medoid_beside_others(spark):
+    rows = spark.createDataFrame([(1, 1, None, None, 1.0), (1, 2, 0.0, 0.0, 1.0), (1, 3, 0.0, 50.0, 2.0), (2, 4, None, None, 1.0)], "g int, i long, lat double, lon double, w double")
+    assert {r.g: (r.medoid, r.members) for r in places.medoids(rows, "g", "i", "lat", "lon", "w").collect()} == {1: (3, 3), 2: (4, 1)}
+
+
 def test_places_within_reach_go_to_all_partitions(spark):
     draw = random.Random(6)
     a, b = ([(i, draw.uniform(-90, 90), draw.uniform(-180, 180)) for i in range(n)] for n in (60, 300))
