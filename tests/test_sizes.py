@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 from wayfold.operators import families, joins, places
+from wayfold.plans import record_queries
 
 
 def plan(df):
@@ -48,3 +49,12 @@ def test_places_within_reach_go_to_all_partitions(spark):
     found = joins.within_km(spark.createDataFrame(a, "a_id long, a_lat double, a_lon double"), spark.createDataFrame(b, "b_id long, b_lat double, b_lon double"), 900.0, 2.0)
     assert "Broadcast" not in plan(found) and "REPARTITION_BY_NUM" in plan(found)
     assert {(r.a_id, r.b_id) for r in found.collect()} == {(i, j) for i, *p in a for j, *q in b if km(p, q) <= 900}
+
+
+def test_texts_that_begin_alike_are_compared_in_tiles(spark, tmp_path):
+    docs = [(1, "one two red green", "en", "a"), (2, "One, two! red green blue", "en", "a"), (3, "one two red GREEN", "en", "a"), (4, "two one red green", "en", "a"), (5, "one two zzz yyy xxx www vvv", "en", "a"), (6, None, "en", "a"), (7, "a b", "en", "a"), (8, "one two red green blue grey", None, "a"), (9, "one two red green blue grey", "en", "a")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = record_queries.pair_lexical_scores(spark, str(tmp_path))
+    assert "array_intersect" not in plan(found)  # no pair of whole token lists in a join
+    # 3 is a copy of 1, 9 one of 8, whose null language has no equal.
+    assert [tuple(r) for r in found.collect()] == [(1, 2, 4, 5)]
