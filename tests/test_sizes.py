@@ -4,7 +4,7 @@ import math
 import random
 
 from pyspark.sql import functions as F
-from wayfold.operators import families, joins, places
+from wayfold.operators import families, joins, pairs, places
 from wayfold.plans import record_queries
 
 
@@ -58,3 +58,23 @@ def test_texts_that_begin_alike_are_compared_in_tiles(spark, tmp_path):
     assert "array_intersect" not in plan(found)  # no pair of whole token lists in a join
     # 3 is a copy of 1, 9 one of 8, whose null language has no equal.
     assert [tuple(r) for r in found.collect()] == [(1, 2, 4, 5)]
+
+
+def test_nearest_cosines_in_chunks_equal_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TILE", 5)
+    draw = random.Random(8)
+    rows = [(i, draw.choice([1, 2, None]), [float(draw.randint(-2, 2)) for _ in range(3)]) for i in range(60)] + [(60, 1, None), (61, 2, [1.0])]
+    df = spark.createDataFrame(rows, "i long, g int, v array<double>")
+
+    def cosine(a, b):
+        if a is None or b is None:
+            return None
+        na, nb = (math.sqrt(sum(x * x for x in v)) for v in (a, b))
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / (na * nb), 6) + 0.0 if len(a) == len(b) and na * nb > 0 else 0.0
+
+    wanted = set()
+    for i, g, v in rows:
+        if i % 3 == 0 and g is not None:
+            others = sorted((-(s if (s := cosine(v, w)) is not None else -9), j, s) for j, h, w in rows if h == g and j != i)
+            wanted |= {(i, j, s, n + 1) for n, (_, j, s) in enumerate(others[:4])}
+    assert {tuple(r) for r in pairs.nearest_cosines(df.where("i % 3 = 0"), df, "i", "g", "v", 4, 6).collect()} == wanted
