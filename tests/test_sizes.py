@@ -2,8 +2,11 @@
 
 import math
 import random
+import re
+import time
 
 from pyspark.sql import functions as F
+from wayfold.functions import text as tx
 from wayfold.operators import families, joins, pairs, places
 from wayfold.plans import record_queries
 
@@ -78,3 +81,14 @@ def test_nearest_cosines_in_chunks_equal_a_loop(spark, monkeypatch):
             others = sorted((-(s if (s := cosine(v, w)) is not None else -9), j, s) for j, h, w in rows if h == g and j != i)
             wanted |= {(i, j, s, n + 1) for n, (_, j, s) in enumerate(others[:4])}
     assert {tuple(r) for r in pairs.nearest_cosines(df.where("i % 3 = 0"), df, "i", "g", "v", 4, 6).collect()} == wanted
+
+
+def test_a_long_line_without_an_end_takes_no_square(spark):
+    draw = random.Random(9)
+    texts = ["".join(draw.choice("abc .!?\n") for _ in range(400)) for _ in range(30)] + ["", "a sentence. and what follows it\n", "no end at all here", "cut off by the line\nthen a sentence!\n\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    found = {r.i: r.s for r in df.select("i", tx.sentences(F.col("t"), 3, 20).alias("s")).collect()}
+    assert found == {i: [s for s in (m.strip(" ") for m in re.findall(r"[^.!?\n]+(?:[.!?]|\Z)", t)) if 3 <= len(s) <= 20] for i, t in enumerate(texts)}
+    began = time.time()
+    assert spark.range(1).select(tx.sentences(F.concat(F.repeat(F.lit("word "), 100_000), F.lit("\nOne sentence here."))).alias("s")).head().s == ["One sentence here."]
+    assert time.time() - began < 20  # half a million characters: minutes where each start is tried

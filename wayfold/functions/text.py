@@ -26,8 +26,12 @@ def fingerprint(text: Column, least: int = 6) -> Column:
 
 
 def sentences(text: Column, least: int = 12, most: int = 500) -> Column:
-    """Trimmed sentences of least to most characters."""
-    found = F.regexp_extract_all(text, F.lit(r"[^.!?\n]+(?:[.!?]|\z)"), F.lit(0))
+    """Trimmed sentences of least to most characters.
+
+    What a line's end cuts off is no sentence; it is matched and dropped, as a
+    search that tries again from each of its characters takes its square.
+    """
+    found = F.filter(F.regexp_extract_all(text, F.lit(r"[^.!?\n]++(?:[.!?\n]|\z)"), F.lit(0)), lambda s: ~F.endswith(s, F.lit("\n")))
     return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: F.length(s).between(least, most))
 
 
