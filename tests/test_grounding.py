@@ -46,3 +46,15 @@ def test_rotation_equals_leasing_one_by_one(spark):
     df = spark.createDataFrame(jobs, "id int, lane string")
     assert [r.id for r in selection.lane_rotation(df, "lane", [], sequence, 3, 70, "id").orderBy("place").collect()] == want
     assert selection.lane_rotation(df, "lane", [], [], 3, 70, "id").count() == 0
+
+
+def test_a_claims_documents_are_read_once_and_fields_parsed_once(spark):
+    claims = spark.createDataFrame([(1, None, " B ", "checkable", "a"), (2, None, None, "checkable", "a")], "claim long, object string, speaker string, verifiability string, predicate string")
+    rows = [(1, "d", "gdacs", "g1", "b", None, 1.0, 2.0, "2024-01-01 00:00:00", '{"ye\\u0061r":"2020","series_id":7,"country_code":""}'), (1, "d", "gdacs", "g1", "b", None, 1.0, 2.0, "2024-01-01 00:00:00", '{"year":"2020"}'), (1, "e", "gdacs", "g1", None, None, None, 2.0, "2024-01-02 00:00:00", '{"year":"2020"'), (None, "f", "gdacs", "g1", None, None, None, None, None, None)]
+    evidence = docs(spark, rows)
+    found = grounding.groundings(claims, evidence)
+    told = found._jdf.queryExecution().optimizedPlan().toString()
+    assert told.count("get_json_object") == len(grounding.METADATA) and told.count("Window [row_number") == 1
+    window = '{"latitude":1.0,"longitude":2.0,"observed_at":"2024-01-01T00:00:00"}'
+    assert sorted((r.place, r.claim, r.type, r.value, r.document) for r in found.collect()) == [
+        (0, 1, "authority_record", "g1", "e"), (1, 1, "authority_record", "g1", "d"), (2, 1, "series_id", "7", "d"), (3, 1, "year", "2020", "d"), (4, 1, "geo_time_window", window, "d"), (5, 1, "named_entity", "B", None)]

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.items import vulnerability_ids
-from .selection import first_of
 
 # Sources that speak with authority, documents and characters that are looked at, values of a claim, how sure each sort of value is.
 AUTHORITIES = ["usgs_earthquakes", "nws_alerts", "cisa_known_exploited_vulnerabilities", "github_security_advisories", "world_bank_indicators", "fred_economic_indicators", "nasa_eonet", "gdacs", "who_outbreaks", "reliefweb", "nasa_firms_wildfires", "noaa_space_weather_alerts"]
@@ -22,6 +21,11 @@ def _text(*columns: str) -> Column:
     return F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns])
 
 
+def _field(text: str, key: str) -> Column:
+    """A field of a JSON text; texts that don't hold its name, and no escape that may stand for it, aren't parsed."""
+    return F.when(F.contains(text, F.lit(key)) | F.contains(text, F.lit("\\")), F.get_json_object(text, f"$.{key}"))
+
+
 def _coordinate(c: str) -> Column:
     return F.when(F.col(c).between(-180, 180), F.col(c))
 
@@ -43,29 +47,36 @@ def groundings(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     characters than those of an address, or over 300 of them, is none.
     """
     open_ = claims.where("claim is not null and verifiability = 'checkable' and predicate not in ('event.reported', 'event.category')").groupBy("claim").agg(F.max(F.struct("object", "speaker")).alias("_c")).select("claim", "_c.*")
-    read = evidence.where("claim is not null and document is not null").join(open_.select("claim"), "claim", "left_semi")
-    last = first_of(read, "claim", [F.col("retrieved_at").desc_nulls_last(), F.col("document").desc()], DOCUMENTS, "document", "_rank")
-    value = lambda kind, space, v, sure, method, when: F.when(when & v.isNotNull() & (v != ""), F.struct(F.lit(kind).alias("type"), space.alias("namespace"), v.alias("value"), F.lit(SURE[sure]).alias("confidence"), F.lit(method).alias("method")))
-    name, seen = F.trim("external_id"), F.coalesce("published_at", "retrieved_at")
-    lat, lon = _coordinate("lat"), _coordinate("lon")
+    # The rank is cut before a shuffle too, so a claim with very many documents sends eight from each task.
+    order = Window.partitionBy("claim").orderBy(F.col("retrieved_at").desc_nulls_last(), F.col("document").desc())
+    last = evidence.where("claim is not null and document is not null").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= DOCUMENTS)
+    # What is named more than once below is a column first: worked out once, in compiled code.
+    lat, lon, seen = _coordinate("lat"), _coordinate("lon"), F.coalesce("published_at", "retrieved_at")
     where = F.to_json(F.struct(lat.alias("latitude"), lon.alias("longitude"), F.date_format(seen, "yyyy-MM-dd'T'HH:mm:ss").alias("observed_at")))
+    facts = open_.join(last.hint("merge"), "claim", "left").select(
+        "claim", "object", "speaker", "_n", "document", F.col("source").alias("_source"), F.substring(_text("title", "summary"), 1, CHARACTERS).alias("_said"), F.trim("external_id").alias("_name"),
+        F.when(lat.isNotNull() & lon.isNotNull() & seen.isNotNull(), where).alias("_where"), *[_field("metadata", k).alias(f"_{k}") for k in METADATA])
+    entry = lambda kind, space, v, sure, method, rank, document: F.struct((-F.lit(SURE[sure])).alias("_minus"), rank.alias("_rank"), F.lit(kind).alias("type"), space.alias("namespace"), v.alias("value"), document.alias("document"), F.lit(method).alias("method"))
+    value = lambda kind, space, v, sure, method, when, rank=F.col("_n") - 1, document=F.col("document"): F.when(when & (v != ""), entry(kind, space, v, sure, method, rank, document))
     told = [
-        value("authority_record", F.col("source"), name, "authority_record", "source_metadata", F.col("source").isin(AUTHORITIES) & (F.length(name) <= 300) & name.rlike("^[A-Za-z0-9:/?&=._-]+$")),
-        value("geo_time_window", F.lit("wgs84"), where, "geo_time_window", "document_coordinates", lat.isNotNull() & lon.isNotNull() & seen.isNotNull())]
-    told += [value(k, F.lit(space), F.get_json_object("metadata", f"$.{k}"), "metadata", "source_metadata", F.lit(True)) for k, space in METADATA.items()]
-    stated = last.select("claim", "_rank", "document", F.explode(F.filter(F.array(*told), lambda v: v.isNotNull())).alias("_v"))
-    # Eight documents of a claim at most.
-    texts = last.groupBy("claim").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rank", _text("title", "summary").alias("t")))), lambda r: r["t"]), " ").alias("_t"))
-    spoken = open_.join(texts, "claim", "left").withColumn("_t", F.substring(F.concat_ws(" ", F.coalesce("object", F.lit("")), F.coalesce("_t", F.lit(""))), 1, CHARACTERS))
-    codes = F.transform(vulnerability_ids(F.col("_t")), lambda v: F.struct(F.lit("security_identifier").alias("type"), F.when(v.startswith("CVE"), "cve").otherwise("ghsa").alias("namespace"), v.alias("value"), F.lit(SURE["security_identifier"]).alias("confidence"), F.lit("exact_pattern").alias("method")))
-    speaker = F.trim("speaker")
-    named = F.filter(F.array(value("named_entity", F.lit("speaker"), speaker, "named_entity", "claim_attribution", F.contains(F.lower("_t"), F.lower(speaker)))), lambda v: v.isNotNull())
-    spoken = spoken.select("claim", F.lit(DOCUMENTS).alias("_rank"), F.lit(None).cast("string").alias("document"), F.explode(F.concat(codes, named)).alias("_v"))
-    every = stated.union(spoken).select("claim", "_rank", "document", "_v.*")
-    # Values of one claim: eight documents' fields and the numbers in 30000 characters.
-    one = every.groupBy("claim", "type", "namespace", "value", "document").agg(F.min("_rank").alias("_rank"), F.max("confidence").alias("confidence"), F.min("method").alias("method"))
-    order = Window.partitionBy("claim").orderBy(F.col("confidence").desc(), "_rank", "type", "namespace", "value")
-    return one.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < VALUES).select("claim", "type", "namespace", "value", "confidence", "document", "method", "place")
+        value("authority_record", F.col("_source"), F.col("_name"), "authority_record", "source_metadata", F.col("_source").isin(AUTHORITIES) & (F.length("_name") <= 300) & F.col("_name").rlike("^[A-Za-z0-9:/?&=._-]+$")),
+        value("geo_time_window", F.lit("wgs84"), F.col("_where"), "geo_time_window", "document_coordinates", F.lit(True))]
+    told += [value(k, F.lit(space), F.col(f"_{k}"), "metadata", "source_metadata", F.lit(True)) for k, space in METADATA.items()]
+    each = facts.select("claim", "object", "speaker", F.when(F.col("document").isNotNull(), F.struct("_n", "document", "_said", F.array(*told).alias("told"))).alias("_d"))
+    # Eight documents of a claim at most, so a claim is one row from here on.
+    one = each.groupBy("claim").agg(F.first("object").alias("object"), F.trim(F.first("speaker")).alias("_speaker"), F.sort_array(F.collect_list("_d")).alias("_d"))
+    one = one.withColumn("_t", F.substring(F.concat_ws(" ", F.coalesce("object", F.lit("")), F.array_join("_d._said", " ")), 1, CHARACTERS))
+    one = one.select("claim", "_t", "_speaker", F.col("_d.document").alias("_names"), F.sort_array(F.filter(F.flatten("_d.told"), lambda v: v.isNotNull())).alias("_told"), vulnerability_ids(F.col("_t")).alias("_codes"))
+    # Only a document that a claim names twice says a thing twice; its first place stays.
+    same = lambda a, b: (a["type"] == b["type"]) & (a["namespace"] == b["namespace"]) & (a["value"] == b["value"]) & (a["document"] == b["document"])
+    once = F.filter("_told", lambda v, i: ~F.exists(F.slice("_told", F.lit(1), i), lambda w: same(v, w)))
+    stated = F.when(F.size(F.array_distinct("_names")) == F.size("_names"), F.col("_told")).otherwise(once)
+    none = F.lit(None).cast("string")
+    codes = F.transform("_codes", lambda v: entry("security_identifier", F.when(v.startswith("CVE"), "cve").otherwise("ghsa"), v, "security_identifier", "exact_pattern", F.lit(DOCUMENTS), none))
+    named = value("named_entity", F.lit("speaker"), F.col("_speaker"), "named_entity", "claim_attribution", F.contains(F.lower("_t"), F.lower("_speaker")), F.lit(DOCUMENTS), none)
+    named = F.filter(F.array(named), lambda v: v.isNotNull())
+    best = one.select("claim", F.posexplode(F.slice(F.sort_array(F.concat(stated, codes, named)), 1, VALUES)).alias("place", "_v"))
+    return best.select("claim", "_v.type", "_v.namespace", "_v.value", (-F.col("_v._minus")).alias("confidence"), "_v.document", "_v.method", "place")
 
 
 def _whole(c: Column, form: str) -> Column:
