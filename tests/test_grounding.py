@@ -58,3 +58,13 @@ def test_a_claims_documents_are_read_once_and_fields_parsed_once(spark):
     window = '{"latitude":1.0,"longitude":2.0,"observed_at":"2024-01-01T00:00:00"}'
     assert sorted((r.place, r.claim, r.type, r.value, r.document) for r in found.collect()) == [
         (0, 1, "authority_record", "g1", "e"), (1, 1, "authority_record", "g1", "d"), (2, 1, "series_id", "7", "d"), (3, 1, "year", "2020", "d"), (4, 1, "geo_time_window", window, "d"), (5, 1, "named_entity", "B", None)]
+
+
+def test_what_lookups_are_made_of_is_worked_out_once(spark):
+    claims = spark.createDataFrame([(1, None, None, "checkable", "a")], "claim long, object string, speaker string, verifiability string, predicate string")
+    evidence = docs(spark, [(1, "d", "nws_alerts", "a-1", "cve-2024-1000", None, None, None, "2024-01-01 00:00:00", '{"s\\u0065ries_id":"gdp"}'), (1, "e", "nws_alerts", None, "CVE-2024-2000", None, None, None, "2024-01-01 00:00:00", "{"), (1, "f", "press", "x", "ghsa-2345-cfgh-jmpq", None, None, None, None, None)])
+    grounded = grounding.groundings(claims, evidence)
+    tasks = spark.createDataFrame([(i, 1, a) for i, a in enumerate(["nws-alerts", "cisa-kev", "github-advisories", "fred"])], "task int, claim long, adapter string")
+    found = grounding.targets(tasks, claims, evidence, grounded)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") == len(grounding.METADATA) + 5
+    assert {r.task: (r.identifier, r.ready) for r in found.collect()} == {0: ("", False), 1: ("CVE-2024-2000", True), 2: ("CVE-2024-2000", True), 3: ("GDP:", True)}

@@ -93,22 +93,26 @@ def targets(tasks: DataFrame, claims: DataFrame, evidence: DataFrame, grounded:
     unknown claims drop out.  Everything that a claim's evidence offers comes
     from aggregates, so no claim's documents are collected.
     """
-    order = F.struct(F.coalesce(F.unix_micros(F.col("retrieved_at").cast("timestamp")), F.lit(-(2**62))), "document")
-    first = lambda v, when, name: F.max_by(v, F.when(when, order)).alias(name)
-    meta = lambda k: F.upper(F.coalesce(F.get_json_object("metadata", f"$.{k}"), F.lit("")))
+    # What is named more than once below is a column first: worked out once, in compiled code.
     text = _text("title", "summary")
-    a_cve = F.upper(F.regexp_extract(text, r"(?i)\bCVE-\d{4}-\d{4,}\b", 0))
-    a_ghsa = F.upper(F.regexp_extract(text, r"(?i)\bGHSA(?:-[23456789cfghjmpqrvwx]{4}){3}\b", 0))
-    bank, year = (meta("country_code") != "") & (meta("indicator_code") != ""), F.coalesce(F.get_json_object("metadata", "$.year"), F.lit(""))
-    series = meta("series_id")
-    offers = evidence.where("claim is not null and document is not null").groupBy("claim").agg(
-        first(F.trim(F.coalesce("external_id", F.lit(""))), F.col("source") == "usgs_earthquakes", "quake"), first(F.coalesce("external_id", F.lit("")), F.col("source") == "nws_alerts", "alert"),
-        first(F.struct(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss").alias("published_at"), F.lit(QUAKE_KM).alias("radius_km")), F.col("lat").isNotNull() & F.col("lon").isNotNull(), "located"),
-        first(a_cve, a_cve != "", "cve"), first(a_ghsa, a_ghsa != "", "ghsa"),
-        first(F.struct(meta("country_code").alias("country"), meta("indicator_code").alias("indicator"), year.alias("year")), bank & year.rlike(r"^\d{4}$"), "bank"),
-        first(F.struct(series.alias("series_id"), F.coalesce(F.get_json_object("metadata", "$.observation_date"), F.lit("")).alias("date")), series.rlike("^[A-Z0-9._-]{1,80}$"), "series"))
-    record = lambda space, name: F.min_by("value", F.when((F.col("type") == "authority_record") & (F.col("namespace") == space), F.col("place"))).alias(name)
-    held = grounded.groupBy("claim").agg(record("usgs_earthquakes", "_usgs"), *[record(space, f"_{space}") for space, _ in RECORDS.values()], F.min_by("value", F.when(F.col("type") == "geo_time_window", F.col("place"))).alias("_window"))
+    told = evidence.where("claim is not null and document is not null").select(
+        "claim", "document", "source", "lat", "lon", F.coalesce("external_id", F.lit("")).alias("_id"), F.coalesce(F.unix_micros(F.col("retrieved_at").cast("timestamp")), F.lit(-(2**62))).alias("_at"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss").alias("_published"),
+        F.regexp_extract(text, r"(?i)\bCVE-\d{4}-\d{4,}\b", 0).alias("_cve"), F.regexp_extract(text, r"(?i)\bGHSA(?:-[23456789cfghjmpqrvwx]{4}){3}\b", 0).alias("_ghsa"),
+        *[F.coalesce(F.upper(_field("metadata", k)), F.lit("")).alias(f"_{k}") for k in ("country_code", "indicator_code", "series_id")], *[F.coalesce(_field("metadata", k), F.lit("")).alias(f"_{k}") for k in ("year", "observation_date")])
+    first = lambda v, when, name: F.max(F.when(when, F.struct("_at", "document", v.alias("v")))).alias(name)
+    bank = (F.col("_country_code") != "") & (F.col("_indicator_code") != "") & F.col("_year").rlike(r"^\d{4}$")
+    offers = told.groupBy("claim").agg(
+        first(F.trim("_id"), F.col("source") == "usgs_earthquakes", "quake"), first(F.col("_id"), F.col("source") == "nws_alerts", "alert"),
+        first(F.struct(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.col("_published").alias("published_at"), F.lit(QUAKE_KM).alias("radius_km")), F.col("lat").isNotNull() & F.col("lon").isNotNull(), "located"),
+        first(F.col("_cve"), F.col("_cve") != "", "cve"), first(F.col("_ghsa"), F.col("_ghsa") != "", "ghsa"),
+        first(F.struct(F.col("_country_code").alias("country"), F.col("_indicator_code").alias("indicator"), F.col("_year").alias("year")), bank, "bank"),
+        first(F.struct(F.col("_series_id").alias("series_id"), F.col("_observation_date").alias("date")), F.col("_series_id").rlike("^[A-Z0-9._-]{1,80}$"), "series"))
+    offers = offers.select("claim", *[(F.upper(F.col(f"{c}.v")) if c in ("cve", "ghsa") else F.col(f"{c}.v")).alias(c) for c in offers.columns[1:]])
+    record = lambda when, name: F.min(F.when(when, F.struct("place", "value"))).alias(name)
+    spaces = ["usgs_earthquakes", *[space for space, _ in RECORDS.values()]]
+    held = grounded.where(F.col("type").isin("authority_record", "geo_time_window")).groupBy("claim").agg(
+        *[record((F.col("type") == "authority_record") & (F.col("namespace") == space), f"_{space}") for space in spaces], record(F.col("type") == "geo_time_window", "_window"))
+    held = held.select("claim", F.col("_usgs_earthquakes.value").alias("_usgs"), *[F.col(f"{c}.value").alias(c) for c in held.columns[2:]])
     own = claims.where("claim is not null").groupBy("claim").agg(F.max("object").alias("object"))
     rows = tasks.join(own, "claim").join(offers, "claim", "left").join(held, "claim", "left")
     mine = lambda form, other: F.coalesce(F.nullif(F.upper(F.regexp_extract(F.coalesce("object", F.lit("")), form, 0)), F.lit("")), F.col(other))
