@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 from wayfold.functions import text as tx
-from wayfold.operators import families, joins, pairs, places
+from wayfold.operators import families, joins, outcomes, pairs, places
 from wayfold.plans import record_queries
 
 
@@ -92,3 +92,33 @@ def test_a_long_line_without_an_end_takes_no_square(spark):
     began = time.time()
     assert spark.range(1).select(tx.sentences(F.concat(F.repeat(F.lit("word "), 100_000), F.lit("\nOne sentence here."))).alias("s")).head().s == ["One sentence here."]
     assert time.time() - began < 20  # half a million characters: minutes where each start is tried
+
+
+def test_only_keys_of_very_many_rows_are_dealt_to_parts(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, 7 if i % 3 == 0 else i % 40 if i % 5 else None) for i in range(200)], "i long, k int")
+    other = spark.range(0, 30).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    want = sorted((i, k * 10 if k is not None and k < 30 else None) for i, k in ((r.i, r.k) for r in rows.collect()))
+    light = families.met(rows, "k", other, "i")
+    assert plan(light).count("Exchange hashpartitioning") <= 2 and "pmod" not in plan(light)
+    monkeypatch.setattr(families, "BIG", 50)
+    dealt = families.met(rows, "k", other, "i")
+    assert "pmod" in plan(dealt) and "Broadcast" not in plan(dealt)
+    for found in (light, dealt):
+        assert sorted((r.i, r.v) for r in found.collect()) == want
+
+
+def test_opposition_reads_its_claims_once(spark, monkeypatch):
+    claims = spark.createDataFrame([(i, i % 2, "p" if i % 3 else None, "ab"[i % 5 // 3], True) for i in range(60)], "id long, situation long, predicate string, value string, single boolean")
+    runs = []
+    for big in (50_000, 3):
+        monkeypatch.setattr(families, "BIG", big)
+        found = outcomes.opposition(claims, "situation", "id", "predicate", "value")
+        assert plan(found).count("Exchange hashpartitioning") <= 2 and "ExistingRDD" not in plan(found)  # read back, not worked out again
+        runs.append(sorted(map(tuple, found.collect()), key=repr))
+    rows = [(r.id, r.situation, r.predicate, r.value) for r in claims.collect()]
+    group = lambda r: [o for o in rows if o[1:3] == r[1:3] and r[2] is not None]
+    want = []
+    for r in rows:
+        mine, others = [o[0] for o in group(r) if o[3] == r[3]] or [r[0]], [o[0] for o in group(r) if o[3] != r[3]]
+        want.append((r[0], min(mine), len(mine), len(others), min(others, default=None)))
+    assert runs[0] == runs[1] == sorted(want, key=repr)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.items import report_tokens
 from ..functions.measures import overlap
+from ..session import written
 from .families import met
 from .fusion import SINGLE_VALUED
 
@@ -40,6 +41,8 @@ def opposition(claims: DataFrame, situation: str, ident: str, predicate: str, va
     parts.  A null situation, predicate or value is its own group with nobody.
     """
     key = [situation, predicate]
+    # Written, as both are read twice: claims come from joins, and values tell besides which of them have very many claims.
+    claims = written(claims.select(ident, *key, value, "single"), "claims")
     values = claims.groupBy(*key, value).agg(F.min(ident).alias("first_id"), F.count("*").alias("equal"), F.max("single").alias("_one"))
     group = Window.partitionBy(*key)
     values = values.withColumns({"_all": F.sum("equal").over(group), "_low": F.min(F.struct("first_id", value)).over(group)})
@@ -47,7 +50,8 @@ def opposition(claims: DataFrame, situation: str, ident: str, predicate: str, va
     contrary = F.when(F.col("_one"), F.col("_all") - F.col("equal")).otherwise(F.lit(0).cast("long"))
     other = F.when(F.col("_one"), F.when(F.col(value) == F.col(f"_low.{value}"), F.col("_next")).otherwise(F.col("_low.first_id")))
     values = values.select(*key, value, "first_id", "equal", contrary.alias("contrary"), other.alias("contrary_id"))
-    found = met(claims.select(ident, *key, value), [*key, value], values, ident)
+    values = written(values, "values")
+    found = met(claims.select(ident, *key, value), [*key, value], values, ident, values.withColumn("n", F.col("equal")))
     alone = F.col("first_id").isNull()
     return found.select(ident, F.coalesce("first_id", ident).alias("first_id"), F.when(alone, 1).otherwise(F.col("equal")).cast("long").alias("equal"), F.coalesce("contrary", F.lit(0)).cast("long").alias("contrary"), "contrary_id")
 
