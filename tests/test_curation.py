@@ -162,3 +162,21 @@ def test_shapes_of_any_depth(spark):
     assert all((got[n].latitude, got[n].longitude, got[n].type) == (5.0, 6.0, "Point") for n in (20, 22, 23, 26)) and got[21] is None
     assert (got[24].longitude, got[24].points) == (7.0, 1) and json.loads(got[24].geometry)["coordinates"][2] == [7, 8, 9]
     assert (got[25].points, got[25].north) == (5000, 2.5) and json.loads(got[25].geometry) == {"type": "Point", "coordinates": [1.25, 2.5]}
+
+
+def test_components_are_replayed_in_a_stream_of_batches(spark):
+    n = 40
+    events = spark.range(2 * n).select(F.concat(F.lit("e"), "id").alias("event"), F.col("id").alias("born"))
+    log = spark.range(n).select(F.col("id").alias("seq"), F.lit("merge").alias("kind"), F.concat(F.lit("e"), 2 * F.col("id")).alias("left"), F.concat(F.lit("e"), 2 * F.col("id") + 1).alias("right"), F.lit(None).cast("array<string>").alias("observations"), F.lit(None).cast("long").alias("target_seq"))
+    members = spark.range(6 * n).select(F.concat(F.lit("o"), "id").alias("observation"), F.concat(F.lit("e"), F.col("id") % (2 * n)).alias("event"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "2")  # a component's three rows never fit
+        done = operations.replay(events, members, log)
+        assert "MapInArrow" in done._jdf.queryExecution().executedPlan().toString()
+        rows = done.collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted((r.seq, r.status, r.moved) for r in rows if r.what == "operation") == [(i, "applied", 1) for i in range(n)]
+    assert sorted((r.token, r.value) for r in rows if r.what == "member" and r.to_seq is None) == sorted((f"e:e{i}", f"e{i // 2 * 2}") for i in range(2 * n))

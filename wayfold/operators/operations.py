@@ -8,6 +8,8 @@ and observations meet the intervals of their tokens in an equi-join.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from .families import components, met
 LOG = "seq long, kind string, left string, right string, observations array<string>, target_seq long"
 REPLAYED = "what string, token string, value string, from_seq long, to_seq long, seq long, status string, moved long"
 
+# Fixed value: rows of a batch of results, at least.
+OUT_ROWS = 4000
+
 
 def _resolved(aliases: dict, event: str) -> str:
     while event in aliases:
@@ -210,14 +215,21 @@ def replay(events: DataFrame, members: DataFrame, log: DataFrame) -> DataFrame:
 
     names = [c.split()[0] for c in REPLAYED.split(", ")]
 
-    def run(part):
+    def run(batches):
         import pyarrow as pa
 
         kinds = {"from_seq": pa.int64(), "to_seq": pa.int64(), "seq": pa.int64(), "moved": pa.int64()}
-        rows = replayed_log(part.to_pylist())
-        return pa.table({n: pa.array([r[i] for r in rows], kinds.get(n, pa.string())) for i, n in enumerate(names)})
-
-    return logged.union(touched).union(singles).groupBy("component").applyInArrow(run, REPLAYED)
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.get(n, pa.string())) for i, n in enumerate(names)], names=names)
+        out = []
+        for _, records in groupby((r for b in batches for r in b.to_pylist()), key=lambda r: r["component"]):
+            out += replayed_log(list(records))
+            if len(out) >= OUT_ROWS:
+                yield batch(out)
+                out = []
+        yield batch(out)
+
+    # A component's rows lie together, so a task holds one component; a call of Python for each would take longer than its replay.
+    return logged.union(touched).union(singles).repartition("component").sortWithinPartitions("component").mapInArrow(run, REPLAYED)
 
 
 def histories(members: DataFrame, done: DataFrame) -> DataFrame:
