@@ -1,14 +1,16 @@
 """What lets operators grow: plans without broadcasts of what grows, chunks, and the same results as loops in Python."""
 
 import math
+import os
 import random
 import re
 import time
 
 from pyspark.sql import functions as F
+from wayfold import session
 from wayfold.functions import text as tx
 from wayfold.operators import families, joins, outcomes, pairs, places
-from wayfold.plans import record_queries
+from wayfold.plans import record_queries, view_queries, world_queries
 
 
 def plan(df):
@@ -122,3 +124,13 @@ def test_opposition_reads_its_claims_once(spark, monkeypatch):
         mine, others = [o[0] for o in group(r) if o[3] == r[3]] or [r[0]], [o[0] for o in group(r) if o[3] != r[3]]
         want.append((r[0], min(mine), len(mine), len(others), min(others, default=None)))
     assert runs[0] == runs[1] == sorted(want, key=repr)
+
+
+def test_partitions_of_lines_grow_with_the_table(spark, monkeypatch):
+    data = os.environ.get("WAYFOLD_DATA", "/root/testdata") + "/sf0.001"
+    splits = spark.read.parquet(f"{data}/lineitem.parquet").rdd.getNumPartitions()
+    for query in (world_queries.claim_dedup, view_queries.article_framing):
+        for each in (8, 50):
+            monkeypatch.setattr(session, "PER_SPLIT", each)
+            told = plan(query(spark, data))
+            assert told.count("Exchange hashpartitioning") == told.count("REPARTITION_BY_NUM") == 2 and told.count(f", {each * splits})") == 2

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import items
 from ..functions.measures import haversine_km
 from ..operators import fusion, outcomes, situations, snapshots
+from ..session import dealt
 from .place_queries import KM, LAT, LON, located
 from .registry import query, table
 
@@ -32,8 +33,10 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as evidence of claims."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("y"), F.year("l_shipdate") % 3).alias("predicate"), F.col("l_returnflag").alias("value"), F.col("l_shipdate").alias("said_at"), F.col("l_discount").alias("discount"), F.col("l_linenumber").alias("line"))
-    return lines.join(reports(spark, sf_dir).select("doc", "situation", "publisher", "family", "credibility"), "doc")
+    every = table(spark, sf_dir, "lineitem")
+    lines = every.select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("y"), F.year("l_shipdate") % 3).alias("predicate"), F.col("l_returnflag").alias("value"), F.col("l_shipdate").alias("said_at"), F.col("l_discount").alias("discount"), F.col("l_linenumber").alias("line"))
+    said = reports(spark, sf_dir).select("doc", "situation", "publisher", "family", "credibility")
+    return dealt(lines, "doc", every).join(dealt(said, "doc", every).hint("merge"), "doc")
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
