@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wayfold import session
 from wayfold.functions import text as tx
 from wayfold.operators import families, joins, outcomes, pairs, places
-from wayfold.plans import record_queries, view_queries, world_queries
+from wayfold.plans import evidence_queries, record_queries, view_queries, world_queries
 
 
 def plan(df):
@@ -85,6 +85,17 @@ def test_nearest_cosines_in_chunks_equal_a_loop(spark, monkeypatch):
     assert {tuple(r) for r in pairs.nearest_cosines(df.where("i % 3 = 0"), df, "i", "g", "v", 4, 6).collect()} == wanted
 
 
+def test_every_vector_asks_for_its_nearest(spark, tmp_path):
+    rows = [(i, i % 2, [1.0, float(i)]) for i in range(1, 16)] + [(100 + i, 7, [2.0, 2.0]) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {}
+    for r in evidence_queries.embedding_cosine_topk(spark, str(tmp_path)).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert found.keys() == {i for i, *_ in rows} and all(len(x) == 5 for x in found.values())
+    # Copies are ties: the five smallest ids, whichever of them asks.
+    assert all(sorted(found[100 + i]) == list(enumerate([x for x in range(100, 140) if x != 100 + i][:5], 1)) for i in range(40))
+
+
 def test_a_long_line_without_an_end_takes_no_square(spark):
     draw = random.Random(9)
     texts = ["".join(draw.choice("abc .!?\n") for _ in range(400)) for _ in range(30)] + ["", "a sentence. and what follows it\n", "no end at all here", "cut off by the line\nthen a sentence!\n\n"]

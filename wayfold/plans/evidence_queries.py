@@ -107,11 +107,13 @@ def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 SIMILAR = "s as (select a.vec_id as query_id, a.label, b.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 100 = 0)"
 
 
-@query(f"with {SIMILAR} select query_id, vec_id, similarity, rank from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from s) where rank <= 5")
+@query("""
+with s as (select a.vec_id as query_id, b.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id)
+select query_id, vec_id, similarity, rank from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from s) where rank <= 5""")
 def embedding_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most similar others of each hundredth vector's label."""
+    """The five most similar others of its label for every vector."""
     rows = table(spark, sf_dir, "embeddings")
-    return pairs.nearest_cosines(rows.where("vec_id % 100 = 0"), rows, "vec_id", "label", "embedding", 5, 6)
+    return pairs.nearest_cosines(rows, rows, "vec_id", "label", "embedding", 5, 6)
 
 
 @query(f"""
