@@ -65,6 +65,13 @@ def test_texts_that_begin_alike_are_compared_in_tiles(spark, tmp_path):
     assert [tuple(r) for r in found.collect()] == [(1, 2, 4, 5)]
 
 
+def test_texts_that_begin_differently_are_compared(spark, tmp_path):
+    docs = [(1, "one two red green", "en", "a"), (2, "red green one two", "en", "b"), (3, "ONE two red green", "en", "b"), (4, "green, red two one blue", "en", "a"), (5, "red green one two!", "en", "a"), (6, "red green one two", None, "a")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    # 5 says what 2 says, but in another source, so it is compared in its own.
+    assert {tuple(r) for r in record_queries.pair_lexical_scores(spark, str(tmp_path)).collect()} == {(1, 4, 4, 5), (1, 5, 4, 4), (4, 5, 4, 5), (2, 3, 4, 4)}
+
+
 def test_nearest_cosines_in_chunks_equal_a_loop(spark, monkeypatch):
     monkeypatch.setattr(pairs, "TILE", 5)
     draw = random.Random(8)
