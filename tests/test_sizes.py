@@ -65,6 +65,26 @@ def test_texts_that_begin_alike_are_compared_in_tiles(spark, tmp_path):
     assert [tuple(r) for r in found.collect()] == [(1, 2, 4, 5)]
 
 
+def test_sets_are_sent_to_a_bounded_number_of_tiles(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TILE", 5)
+    monkeypatch.setattr(pairs, "USUAL", 6)
+    draw = random.Random(11)
+    rows = [(i, "g", sorted(draw.sample(range(-40, 40), draw.choice([8, 12, 16])))) for i in range(400)]
+    sets = spark.createDataFrame(rows, "i long, g string, tokens array<long>")
+    want = {(i, j, k, n) for i, _, x in rows for j, _, y in rows if i < j and 10 * (k := len({*x} & {*y})) >= 3 * (n := len({*x} | {*y}))}
+    tiles = {}
+    for sides, most in ((2, 16_000), (2, 100)):
+        monkeypatch.setattr(pairs, "SIDES", sides)
+        monkeypatch.setattr(pairs, "MOST", most)
+        found = pairs.similar_sets(sets, "i", ["g"], 30)
+        assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+        assert "REPARTITION_BY_NUM" in plan(found)
+        placed = found._jdf.queryExecution().optimizedPlan().children().head()
+        tiles[most] = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, placed).count()
+    # Two chunks for each of two classes, whatever the rows; more only where chunks would be too large.
+    assert tiles[16_000] <= 4 * len(rows) < tiles[100]
+
+
 def test_texts_that_begin_differently_are_compared(spark, tmp_path):
     docs = [(1, "one two red green", "en", "a"), (2, "red green one two", "en", "b"), (3, "ONE two red green", "en", "b"), (4, "green, red two one blue", "en", "a"), (5, "red green one two!", "en", "a"), (6, "red green one two", None, "a")]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
