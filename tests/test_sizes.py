@@ -5,11 +5,13 @@ import os
 import random
 import re
 import time
+from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from wayfold import session
 from wayfold.functions import text as tx
-from wayfold.operators import families, joins, outcomes, pairs, places
+from wayfold.operators import assignment, families, joins, outcomes, pairs, places
 from wayfold.plans import evidence_queries, record_queries, view_queries, world_queries
 
 
@@ -147,6 +149,37 @@ def test_only_keys_of_very_many_rows_are_dealt_to_parts(spark, monkeypatch):
         assert sorted((r.i, r.v) for r in found.collect()) == want
 
 
+def test_links_of_a_block_leave_few_for_the_rounds(spark, monkeypatch):
+    """A random mesh of 40 blocks: what goes through the rounds is the links between blocks, not those inside."""
+    draw, left = random.Random(12), {}
+    links = [(100 * g + i, 100 * g + draw.randrange(i), g) for g in range(40) for i in range(1, 100)] + [(100 * g + 7, 100 * (g - 1) + 50, 99) for g in range(1, 30)]
+    draw.shuffle(links)
+    df = spark.createDataFrame(links, "a long, b long, g int").repartition(4)
+    monkeypatch.setattr(families, "written", lambda df, name, put=session.written: (out := put(df, name), left.setdefault(name, out.count()))[0])
+    found = {r.id: r.component for r in families.components(df, "g").collect()}
+    assert left["work"] <= 60 and found == {i: 0 if i < 3000 else i // 100 * 100 for i in range(4000)}
+
+
+def test_bands_of_any_width_equal_a_loop(spark):
+    draw = random.Random(13)
+    rows = [(i, draw.choice("ab"), datetime(1969, 12, 20) + timedelta(minutes=draw.randrange(40 * 1440))) for i in range(150)]
+    df = spark.createDataFrame(rows, "i int, k string, at timestamp_ntz")
+    other = df.select("k", F.col("i").alias("j"), F.col("at").alias("start"))
+    for back, ahead in ((0, 0), (1, 0), (14, 1), (2, 5)):
+        want = sorted((i, j) for i, k, t in rows for j, m, s in rows if k == m and t - timedelta(days=back) <= s <= t + timedelta(days=ahead))
+        assert sorted((r.i, r.j) for r in joins.band_join(df, other, "at", "start", back, ahead, ["k"]).collect()) == want
+    made = joins.band_join(df, other, "at", "start", 14, 1, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "/ 8" in made  # a row goes to the three or so spans of its band, not to each of its days
+
+
+def test_rows_of_a_batch_are_unpacked(spark):
+    kinds = pa.schema([("component", pa.int64()), ("at", pa.timestamp("us", "UTC")), ("tokens", pa.list_(pa.string())), ("identifiers", pa.map_(pa.string(), pa.string())), ("near", pa.list_(pa.int64())), ("lat", pa.float64())])
+    rows = [(i, datetime(2024, 1, 1 + i, 3), None if i == 2 else ["x", f"t{i}"], [("k", str(i))] * (i % 2), [i, 5], None if i == 1 else 0.5) for i in range(6)]
+    batch = pa.record_batch([pa.array([r[c] for r in rows], kinds.field(c).type) for c in range(6)], schema=kinds)
+    want = [(i, {"at": at, "tokens": set(t or ()), "identifiers": dict(m), "near": n, "lat": lat}) for i, at, t, m, n, lat in rows]
+    assert list(assignment.unpacked(batch)) == want and list(assignment.unpacked(batch.slice(2, 3))) == want[2:5] and list(assignment.unpacked(batch.slice(0, 0))) == []
+
+
 def test_opposition_reads_its_claims_once(spark, monkeypatch):
     claims = spark.createDataFrame([(i, i % 2, "p" if i % 3 else None, "ab"[i % 5 // 3], True) for i in range(60)], "id long, situation long, predicate string, value string, single boolean")
     runs = []
